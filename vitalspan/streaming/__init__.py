@@ -1,0 +1 @@
+"""Nothing lives here: every input of the covered workload is a finite table."""
