@@ -7,22 +7,39 @@ of day for the place inside the month.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.operators.features import REPORT_TITLES
 from vitalspan.plans.tenant_run import TenantTables
+from vitalspan.session import scratch_path
+from vitalspan.sources.tables import read_table, snapshot
 
 AS_OF = "2001-08-31"
 STRETCH_START = "1999-02-01"
 
 
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
-def _units(column: str, scale: int) -> Column:
-    return F.round(F.col(column) * scale).cast("long")
+LINE_SUMS = ("qty", "disc", "tax", "lines", "returned")
 
 
 def _text_key(column: str) -> Column:
@@ -31,113 +48,112 @@ def _text_key(column: str) -> Column:
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: line measures as whole numbers."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum(_units("l_quantity", 1)).alias("qty"),
-        F.sum(_units("l_discount", 100)).alias("disc"),
-        F.sum(_units("l_tax", 100)).alias("tax"),
-        F.count(F.lit(1)).alias("lines"),
-        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"),
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS o_orderkey",
+        "CAST(round(l_quantity) AS BIGINT) AS qty",
+        "CAST(round(l_discount * 100) AS BIGINT) AS disc",
+        "CAST(round(l_tax * 100) AS BIGINT) AS tax",
+        "1L AS lines",
+        "CAST(l_returnflag = 'R' AS BIGINT) AS returned",
+    )
+    return lines.groupBy("o_orderkey").agg({c: "sum" for c in LINE_SUMS}).selectExpr(
+        "o_orderkey", *[f"`sum({c})` AS {c}" for c in LINE_SUMS]
     )
 
 
 def account_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
         "o_custkey",
-        F.to_date(F.trunc("o_orderdate", "MM")).alias("start_date"),
-        _units("o_totalprice", 100).alias("cents"),
+        "to_date(trunc(o_orderdate, 'MM')) AS start_date",
+        "CAST(round(o_totalprice * 100) AS BIGINT) AS cents",
         "o_orderpriority",
     )
-    months = orders.join(order_lines(spark, sf_dir), "o_orderkey", "left")
-    zero = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("qty", "disc", "tax", "lines", "returned")}
-    return months.groupBy("o_custkey", "start_date").agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.sum("cents").alias("cents"),
-        F.min("o_orderpriority").alias("priority"),
-        *[total.alias(name) for name, total in zero.items()],
+    months = orders.join(order_lines(spark, sf_dir), "o_orderkey", "left").groupBy("o_custkey", "start_date")
+    return months.agg(
+        F.expr("count(1) AS orders"),
+        F.expr("sum(cents) AS cents"),
+        F.expr("min(o_orderpriority) AS priority"),
+        *[F.expr(f"coalesce(sum({c}), 0L) AS {c}") for c in LINE_SUMS],
     )
 
 
-def usage_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``account_months`` written once, as the rollup tables it stands for would be."""
+    return snapshot(account_months(spark, sf_dir), scratch_path(spark, "account-months"))
+
+
+def usage_panel(spark: SparkSession, sf_dir: str, months: DataFrame | None = None) -> DataFrame:
     """The monthly usage rollup."""
-    customers = table(spark, sf_dir, "customer").join(
-        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    )
-    people = customers.select(
-        F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("state"), F.col("c_mktsegment").alias("csm_name")
+    months = account_months(spark, sf_dir) if months is None else months
+    nations = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name AS state")
+    people = table(spark, sf_dir, "customer").join(nations, "c_nationkey").selectExpr(
+        "c_custkey AS o_custkey", "state", "c_mktsegment AS csm_name"
     )
-    cents = F.col("cents")
-    band = F.when(cents < 6_000_000, "Red").when(cents < 18_000_000, "Yellow").otherwise("Green")
-    eighths = [F.col(c).cast("decimal(20,0)") * F.lit("0.125").cast("decimal(4,3)") for c in ("disc", "qty", "tax", "lines")]
-    first_score = F.when(F.col("priority") != "5-LOW", eighths[0])
-    return account_months(spark, sf_dir).join(people, "o_custkey").select(
-        _text_key("o_custkey").alias("sf_an"),
-        F.concat(F.lit("db_"), _text_key("o_custkey")).alias("atd_database"),
+    eighth = "CAST({} AS DECIMAL(20, 0)) * CAST('0.125' AS DECIMAL(4, 3))"
+    return months.join(people, "o_custkey").selectExpr(
+        "CAST(o_custkey AS STRING) AS sf_an",
+        "concat('db_', o_custkey) AS atd_database",
         "start_date",
-        (F.floor((cents + 500) / 1000) / 1000.0).cast("double").alias("atd_client_health_score"),
-        band.alias("atd_client_health_score_band"),
-        F.col("orders").alias("atd_users_count"),
-        F.col("qty").alias("atd_student_count"),
-        (F.col("qty") % 101).cast("double").alias("atd_users_login_percent"),
-        (F.col("disc") * 7 % 101).cast("double").alias("atd_students_assessed_percent"),
-        (F.col("tax") * 3 % 101).cast("double").alias("atd_feature_adoption_score"),
-        F.col("disc").alias("asmt_created_flex"),
-        F.col("qty").alias("asmt_admin_flex"),
-        F.col("tax").alias("asmt_created_ib"),
-        F.col("lines").alias("asmt_admin_ib"),
-        first_score.alias("asmt_created_flex_score"),
-        eighths[1].alias("asmt_admin_flex_score"),
-        eighths[2].alias("asmt_created_ib_score"),
-        eighths[3].alias("asmt_admin_ib_score"),
-        F.col("returned").alias("user_created_custom_reports"),
+        "CAST((cents + 500) div 1000 AS DOUBLE) / 1000.0D AS atd_client_health_score",
+        "CASE WHEN cents < 6000000 THEN 'Red' WHEN cents < 18000000 THEN 'Yellow' ELSE 'Green' END"
+        " AS atd_client_health_score_band",
+        "orders AS atd_users_count",
+        "qty AS atd_student_count",
+        "CAST(qty % 101 AS DOUBLE) AS atd_users_login_percent",
+        "CAST(disc * 7 % 101 AS DOUBLE) AS atd_students_assessed_percent",
+        "CAST(tax * 3 % 101 AS DOUBLE) AS atd_feature_adoption_score",
+        "disc AS asmt_created_flex",
+        "qty AS asmt_admin_flex",
+        "tax AS asmt_created_ib",
+        "lines AS asmt_admin_ib",
+        f"CASE WHEN priority != '5-LOW' THEN {eighth.format('disc')} END AS asmt_created_flex_score",
+        f"{eighth.format('qty')} AS asmt_admin_flex_score",
+        f"{eighth.format('tax')} AS asmt_created_ib_score",
+        f"{eighth.format('lines')} AS asmt_admin_ib_score",
+        "returned AS user_created_custom_reports",
         "state",
         "csm_name",
-        F.when(F.col("priority") == "1-URGENT", "Red").when(F.col("priority") == "2-HIGH", "Yellow").otherwise("Green").alias(
-            "csm_health"
-        ),
+        "CASE priority WHEN '1-URGENT' THEN 'Red' WHEN '2-HIGH' THEN 'Yellow' ELSE 'Green' END AS csm_health",
     )
 
 
-def monthly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def monthly_usage(spark: SparkSession, sf_dir: str, months: DataFrame | None = None) -> DataFrame:
     """The second usage table: a row per month and one more, typed 'year', each January."""
-    kinds = F.when(F.month("start_date") == 1, F.array(F.lit("month"), F.lit("year"))).otherwise(F.array(F.lit("month")))
-    return account_months(spark, sf_dir).select(
-        _text_key("o_custkey").alias("sf_an"),
+    months = account_months(spark, sf_dir) if months is None else months
+    return months.selectExpr(
+        "CAST(o_custkey AS STRING) AS sf_an",
         "start_date",
-        F.explode(kinds).alias("date_range_type"),
-        (F.col("lines") * 10 % 101).cast("double").alias("teachers_login_percent"),
-        (F.col("tax") * 2).alias("asmt_admin_inspect_prebuilt"),
-        (F.col("returned") * 3 + F.col("lines")).alias("summary_asmt_created"),
-        (F.col("disc") % 13).alias("tile_layouts_created_modified"),
-        (F.col("qty") % 2).cast("int").alias("integration_educlimber"),
-        (F.col("disc") % 2).cast("int").alias("integration_fast"),
-        (F.col("tax") % 2).cast("int").alias("integration_google_classroom"),
-        (F.col("lines") % 2).cast("int").alias("integration_pra"),
+        "explode(CASE WHEN month(start_date) = 1 THEN array('month', 'year') ELSE array('month') END) AS date_range_type",
+        "CAST(lines * 10 % 101 AS DOUBLE) AS teachers_login_percent",
+        "tax * 2 AS asmt_admin_inspect_prebuilt",
+        "returned * 3 + lines AS summary_asmt_created",
+        "disc % 13 AS tile_layouts_created_modified",
+        "CAST(qty % 2 AS INT) AS integration_educlimber",
+        "CAST(disc % 2 AS INT) AS integration_fast",
+        "CAST(tax % 2 AS INT) AS integration_google_classroom",
+        "CAST(lines % 2 AS INT) AS integration_pra",
     )
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A subscription per order with lines; every fourth account goes by two names."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"), "l_partkey", _units("l_quantity", 1).alias("qty")
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_type")
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS o_orderkey", "l_partkey", "CAST(round(l_quantity) AS BIGINT) AS qty"
     )
     terms = lines.join(parts, "l_partkey").groupBy("o_orderkey").agg(
-        F.sum("qty").cast("int").alias("days"), F.max("p_type").alias("p_type")
+        F.expr("CAST(sum(qty) AS INT) AS days"), F.expr("max(p_type) AS p_type")
     )
-    start = F.to_date("o_orderdate")
-    open_ended = (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")
-    second = (F.col("o_custkey") % 4 == 0) & (F.col("o_orderkey") % 2 == 0)
-    return table(spark, sf_dir, "orders").join(terms, "o_orderkey").select(
-        _text_key("o_custkey").alias("account_number"),
-        F.concat(F.lit("Account "), _text_key("o_custkey"), F.when(second, " B").otherwise("")).alias("account_name"),
-        start.alias("start_date"),
-        F.when(~open_ended, F.date_add(start, F.col("days"))).alias("end_date"),
-        F.concat(F.lit("dna "), F.col("p_type"), F.when(F.col("p_type") == "PROMO", " Rate").otherwise(" License")).alias(
-            "product_name"
-        ),
-        F.when(F.col("o_orderpriority") == "5-LOW", "Other").otherwise("DnA").alias("product_group"),
+    return table(spark, sf_dir, "orders").join(terms, "o_orderkey").selectExpr(
+        "CAST(o_custkey AS STRING) AS account_number",
+        "concat('Account ', o_custkey, CASE WHEN o_custkey % 4 = 0 AND o_orderkey % 2 = 0 THEN ' B' ELSE '' END)"
+        " AS account_name",
+        "to_date(o_orderdate) AS start_date",
+        "CASE WHEN NOT (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')"
+        " THEN date_add(to_date(o_orderdate), days) END AS end_date",
+        "concat('dna ', p_type, CASE WHEN p_type = 'PROMO' THEN ' Rate' ELSE ' License' END) AS product_name",
+        "CASE WHEN o_orderpriority = '5-LOW' THEN 'Other' ELSE 'DnA' END AS product_group",
     )
 
 

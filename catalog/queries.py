@@ -76,9 +76,10 @@ def tickets_by_month(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataF
 
 
 def build_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = a.stored_months(spark, sf_dir)
     return training.training_table(
-        a.usage_panel(spark, sf_dir),
-        a.monthly_usage(spark, sf_dir),
+        a.usage_panel(spark, sf_dir, months),
+        a.monthly_usage(spark, sf_dir, months),
         a.tickets(spark, sf_dir),
         a.organisations(spark, sf_dir),
         a.accounts(spark, sf_dir),
@@ -110,8 +111,9 @@ def one_cohort(name: str) -> Query:
 
 
 def all_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel(spark, sf_dir, users_above=0)
-    monthly = usage.scrub_monthly_usage(a.monthly_usage(spark, sf_dir))
+    months = a.stored_months(spark, sf_dir)
+    rows = usage.scrub_usage(a.usage_panel(spark, sf_dir, months), users_above=0)
+    monthly = usage.scrub_monthly_usage(a.monthly_usage(spark, sf_dir, months))
     return cohort_report(rows, monthly, tickets_by_month(spark, sf_dir, rows))
 
 

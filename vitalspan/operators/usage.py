@@ -120,7 +120,8 @@ def forward_band_range(usage: DataFrame, horizon_months: int = 3, month_starts:
     months its horizon touches.
     """
     code = band_code(F.col(BAND))
-    dated = usage.groupBy("atd_database", "start_date").agg(F.min(code).alias("low"), F.max(code).alias("high"))
+    cells = usage.select(*CELL).distinct()
+    dated = cells.groupBy("atd_database", "start_date").agg(F.min(code).alias("low"), F.max(code).alias("high"))
     number = F.year("start_date") * 12 + F.month("start_date")
     if month_starts:
         ahead = Window.partitionBy("atd_database").orderBy(number).rangeBetween(1, horizon_months)
@@ -146,7 +147,6 @@ def forward_band_range(usage: DataFrame, horizon_months: int = 3, month_starts:
             .groupBy("atd_database", F.col("asked").alias("start_date"))
             .agg(F.min("low").alias("interval_min_band_number"), F.max("high").alias("interval_max_band_number"))
         )
-    cells = usage.select(*CELL).distinct()
     return cells.join(later, ["atd_database", "start_date"], "left").select(
         "sf_an",
         "atd_database",

@@ -27,10 +27,9 @@ EVALUATION_LOG = T.StructType(
 )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet under a declared schema, so a renamed or retyped column fails early."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Parquet under a declared schema: no inference job before the query."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
