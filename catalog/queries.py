@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from catalog import adapters as a
 from catalog.adapters import AS_OF
+from catalog.model_queries import MODELLING
 from catalog.oracle import COHORT_KEYS, TENANT_RESPONSES_ABOVE
 from vitalspan import configure
 from vitalspan.functions.prefix import with_rank
@@ -223,4 +224,4 @@ def comparable(query: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    return {name: comparable(query) for name, query in RELATIONAL.items()}
+    return {name: comparable(query) for name, query in {**RELATIONAL, **MODELLING}.items()}

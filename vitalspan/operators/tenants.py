@@ -43,10 +43,8 @@ NO_ACCOUNT = "none"
 
 
 def is_live_tenant(db: Column) -> Column:
-    denied = (db == SYSTEM_DATABASE) | db.startswith(DENIED_PREFIX)
-    for fragment in DENIED_FRAGMENTS:
-        denied = denied | db.contains(fragment)
-    return ~denied
+    pattern = "|".join([f"^{SYSTEM_DATABASE}$", f"^{DENIED_PREFIX}", *DENIED_FRAGMENTS])
+    return ~db.rlike(pattern)
 
 
 def list_databases(directory: DataFrame) -> DataFrame:
