@@ -48,3 +48,21 @@ def academic_years(session_dates: DataFrame) -> DataFrame:
     return session_dates.groupBy("client", "academic_year").agg(
         F.min("start_date").alias("year_start"), F.max("end_date").alias("year_end")
     )
+
+
+def academic_months(session_dates: DataFrame, as_of, months: int) -> DataFrame:
+    """(client, academic_year, month_start): the calendar months that begin inside each year.
+
+    Spreading years over their months turns a range join into one by month. Years reach no
+    further than the ``months`` before the month of ``as_of``.
+    """
+    last = F.trunc(as_day(as_of), "MM")
+    opened = F.greatest(F.col("year_start"), F.add_months(last, -months))
+    closed = F.least(F.col("year_end"), last)
+    years = academic_years(session_dates).where(
+        F.col("year_start").isNotNull() & F.col("year_end").isNotNull() & (opened <= closed)
+    )
+    spread = years.withColumn(
+        "month_start", F.explode(F.sequence(F.trunc(opened, "MM"), closed, F.expr("INTERVAL 1 MONTH")))
+    )
+    return spread.where(F.col("month_start") >= F.col("year_start")).select("client", "academic_year", "month_start")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.operators.calendar import academic_years, as_day, month_series, months_back, per_client_periods
+from vitalspan.operators.calendar import academic_months, as_day, month_series, months_back, per_client_periods
 
 # Reports whose use is tracked, and the log's name for a report.
 REPORT_TITLES = (
@@ -75,12 +75,8 @@ def report_usage(
     )
     slate = reports.withColumn("month_start", F.explode(month_series(as_of, years_back)))
     used = slate.join(seen, ["client", "jasper_prebuilt_id", "month_start"], "left")
-    years = academic_years(session_dates).withColumnRenamed("client", "year_client")
-    in_year = (F.col("client") == F.col("year_client")) & F.col("month_start").between(
-        F.col("year_start"), F.col("year_end")
-    )
     return (
-        used.join(years, in_year, "left")
+        used.join(academic_months(session_dates, as_of, 12 * years_back), ["client", "month_start"], "left")
         .join(accounts, "client")
         .select(
             "client",
@@ -249,18 +245,16 @@ def common_assessments(
         shared.groupBy("client", "academic_year", "month_start")
         .agg(F.count("assessment_id").alias("found"))
         .withColumn("running", F.sum("found").over(so_far))
-        .select("client", F.col("month_start").cast("timestamp").alias("month_start"), "found", "running")
+        .select("client", "month_start", "found", "running")
     )
-    years = academic_years(session_dates)
     return (
-        months_back(accounts, as_of, steps)
-        .join(years, "client")
-        .where(F.col("month_start").between(F.col("year_start"), F.col("year_end")))
+        academic_months(session_dates, as_of, steps)
+        .join(accounts, "client")
         .join(counted, ["client", "month_start"], "left")
         .select(
             "client",
             "sf_an",
-            "month_start",
+            F.col("month_start").cast("timestamp").alias("month_start"),
             "academic_year",
             F.coalesce("found", F.lit(0)).cast("long").alias("common_assessment_count"),
             F.coalesce("running", F.lit(0)).cast("long").alias("cumulative_common_assessment_count_per_ay"),
