@@ -148,11 +148,12 @@ def admin_tenure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nations taken as one district."""
     t = a.tenant_tables(spark, sf_dir)
-    one = F.lit("district")
+    one = F.regexp_replace("client", "^.*$", "district")
     district = {n: getattr(t, n).withColumn("client", one) for n in ("responses", "enrolments", "session_dates")}
     district |= {n: getattr(t, n).withColumn("client", one).distinct() for n in ("sessions", "assessments")}
-    owner = spark.range(1).select(one.alias("client"), F.lit("none").alias("sf_an"))
+    owner = t.clients.select(one.alias("client")).distinct().withColumn("sf_an", F.lit("none"))
     return features.common_assessments(owner, as_of=AS_OF, **district).drop("sf_an")
 
 
