@@ -119,7 +119,8 @@ def all_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel(spark, sf_dir).select("sf_an", "start_date", F.col("user_created_custom_reports").alias("reports"))
+    stored = usage.scrub_usage(a.usage_panel(spark, sf_dir, a.stored_months(spark, sf_dir)))
+    rows = stored.select("sf_an", "start_date", F.col("user_created_custom_reports").alias("reports"))
     up = with_rank(rows, "reports", "rank_up", descending=False)
     return with_rank(up, "reports", "rank_down")
 

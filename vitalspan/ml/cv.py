@@ -105,7 +105,7 @@ def cross_validate(
     key: str = "row_id",
     seed: int = 19,
     sampler: Callable | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
     **options,
 ) -> CrossValidation:
     """Held-out accuracy, precision, recall, F1 and ROC area per fold.
@@ -131,7 +131,7 @@ def sweep(
     date: str | None = "start_date",
     seed: int = 19,
     sampler: Callable | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
     **options,
 ) -> DataFrame:
     """Mean metrics of every model and cost, with and without the excluded spell.
@@ -175,7 +175,7 @@ def grid_search(
     weights: Sequence[tuple[float, float]],
     key: str = "row_id",
     seed: int = 19,
-    parallelism: int = 4,
+    parallelism: int = 8,
     **options,
 ) -> DataFrame:
     """Mean F1 of every cost and weighting, best first, earlier grid points ahead of equals.

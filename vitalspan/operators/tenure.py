@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.operators.calendar import as_day, month_series
+from vitalspan.session import cut_lineage
 
 # Which subscriptions count.
 PRODUCT_GROUP = "DnA"
@@ -40,7 +41,8 @@ def earliest_starts(subscriptions: DataFrame, as_of, years_back: int = 5, gap_da
     active = (opening <= last_end) & (F.col("end_date").isNull() | (F.col("end_date") > opening))
 
     # An open end seeds a chain but never extends one, so MAX may skip it.
-    starts = (
+    # Written once, as the seeds, the walk and the names all read it.
+    starts = cut_lineage(
         counted_subscriptions(subscriptions)
         .where(F.col("start_date").isNotNull())
         .groupBy("account_number", "account_name", "start_date")

@@ -114,28 +114,32 @@ def longest_tenure_first(training: DataFrame) -> DataFrame:
     return training.orderBy(F.col("subscriber_tenure_days").desc_nulls_first())
 
 
-def first_per_month(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per (account, client, month): the smallest tuple of the other columns."""
-    keys = ["sf_an", "client", "start_date"]
-    dated = df.withColumn("start_date", F.to_date("month_start")).drop("month_start")
-    rest = [c for c in dated.columns if c not in keys]
-    least = dated.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("least"))
-    return least.select("sf_an", F.col("client").alias("atd_database"), "start_date", *[f"least.{c}" for c in keep])
+def first_per_month(df: DataFrame, kept: str) -> DataFrame:
+    """One row per (account, client, month): of several, the one smallest in the column kept."""
+    dated = df.select("sf_an", F.col("client").alias("atd_database"), F.to_date("month_start").alias("start_date"), kept)
+    return dated.groupBy("sf_an", "atd_database", "start_date").agg(F.min(kept).alias(kept))
 
 
 def report_columns(reports: DataFrame) -> DataFrame:
-    """Two columns per tracked report, from one pass over the six titles."""
-    keys = ["sf_an", "client", "month_start"]
-    wanted = reports.where(F.col("title").isin(*REPORT_FEATURES))
-    rest = [c for c in wanted.columns if c not in keys + ["title"]]
-    least = wanted.groupBy(*keys, "title").agg(F.min(F.struct(*rest)).alias("least"))
-    picks = []
-    for title, prefix in REPORT_FEATURES.items():
-        chosen = F.max(F.when(F.col("title") == title, F.col("least")))
-        picks.append(chosen["times_accessed"].alias(f"{prefix}_times_accessed"))
-        picks.append(chosen["count_of_distinct_users"].alias(f"{prefix}_distinct_users"))
-    spread = least.groupBy(*keys).agg(*picks)
-    return spread.withColumnsRenamed({"client": "atd_database", "month_start": "start_date"})
+    """Two columns per tracked report, from one hash aggregate over the six titles.
+
+    Of several rows for a title the smallest (accesses, users) pair is taken. The pair goes
+    through MIN as one 38-digit number, which a hash aggregate can hold and a struct cannot.
+    """
+    wide = "decimal(38,0)"
+    shift = F.lit("1" + "0" * 19).cast(wide)
+    pair = (F.col("times_accessed").cast(wide) * shift + F.col("count_of_distinct_users").cast(wide)).cast(wide)
+    wanted = reports.where(F.col("title").isin(*REPORT_FEATURES)).select(
+        "sf_an", F.col("client").alias("atd_database"), F.col("month_start").alias("start_date"), "title", pair.alias("pair")
+    )
+    least = [F.min(F.when(F.col("title") == t, F.col("pair"))).alias(p) for t, p in REPORT_FEATURES.items()]
+    keys = ["sf_an", "atd_database", "start_date"]
+    out = list(keys)
+    for prefix in REPORT_FEATURES.values():
+        whole = F.expr(f"CAST({prefix} div CAST('1{'0' * 19}' AS {wide}) AS BIGINT)")
+        out.append(whole.alias(f"{prefix}_times_accessed"))
+        out.append((F.col(prefix) % shift).cast("long").alias(f"{prefix}_distinct_users"))
+    return wanted.groupBy(*keys).agg(*least).select(*out)
 
 
 def full_training_set(
@@ -146,8 +150,8 @@ def full_training_set(
     Three joins on the same (account, database, month) keys.
     """
     keys = ["sf_an", "atd_database", "start_date"]
-    common = first_per_month(common_assessments, ["cumulative_common_assessment_count_per_ay"])
-    admins = first_per_month(admin_tenure, ["sa_tenure_in_days"])
+    common = first_per_month(common_assessments, "cumulative_common_assessment_count_per_ay")
+    admins = first_per_month(admin_tenure, "sa_tenure_in_days")
     bands = {c: band_code(F.col(c), 0, 1) for c in ("hs_band", *LAG_BANDS)}
     reports = [f"{p}_{m}" for p in REPORT_FEATURES.values() for m in ("times_accessed", "distinct_users")]
     numeric = [c for c in PANEL_COLUMNS if c not in ("state", "csm_name")]
