@@ -16,23 +16,24 @@ from pyspark.sql import functions as F
 from vitalspan.session import cut_lineage
 
 
-def _slot_count(df: DataFrame, key_rows: int) -> int:
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(256, 2 * tasks // max(1, key_rows)))
+MOST_SLOTS = 256
+MOST_CUTS = 1_024
 
 
 def _slots(df: DataFrame, value: str, keys: Sequence[str], slots: int | None) -> Column:
     """How many cut points of the row's key lie at or below its value; -1 for NULL."""
     number = F.col(value).cast("double")
-    steps = slots or _slot_count(df, 1)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = slots or max(8, min(MOST_SLOTS, 2 * tasks))
     shares = [i / steps for i in range(1, steps)]
     found = df.groupBy(*keys).agg(F.percentile_approx(number, shares, 2_000).alias("cuts")).collect()
     cuts = F.array().cast("array<double>")
+    sparser = -(-len(found) * steps // MOST_CUTS)  # many keys need fewer cuts each
     for row in found:
         match = F.lit(True)
         for key in keys:
             match = match & F.col(key).eqNullSafe(F.lit(row[key]))
-        points = sorted(set(row["cuts"] or []))
+        points = sorted(set(row["cuts"] or []))[:: max(1, sparser)]
         if points:
             cuts = F.when(match, F.lit(points)).otherwise(cuts)
     below = F.size(F.filter(cuts, lambda cut: cut <= number))
@@ -58,19 +59,16 @@ def running_totals(
     slotted = df.withColumn("slot", _slots(df, value, keys, slots))
     if descending:
         slotted = slotted.withColumn("slot", F.when(F.col("slot") == -1, F.lit(-1)).otherwise(1_000_000 - F.col("slot")))
-        order = F.col(value).desc_nulls_first()
-        first = F.min_by
-        edge = -F.col(value).cast("double")
+        order, outermost = F.col(value).desc_nulls_first(), F.max_by
     else:
         slotted = slotted.withColumn("slot", F.when(F.col("slot") == -1, F.lit(1_000_000)).otherwise(F.col("slot")))
-        order = F.col(value).asc_nulls_last()
-        first = F.min_by
-        edge = F.col(value).cast("double")
+        order, outermost = F.col(value).asc_nulls_last(), F.min_by
 
     totals = [F.sum(s).alias(f"{s}_slot") for s in sums]
     if following:
         opening = F.struct(*[F.col(s).alias(s) for s in sums])
-        totals.append(first(opening, F.coalesce(edge, F.lit(0.0))).alias("opening"))
+        # The slot of the NULL value holds that one row, which has no place in the order.
+        totals.append(F.coalesce(outermost(opening, F.col(value)), F.max(opening)).alias("opening"))
     across = Window.partitionBy(*keys).orderBy("slot")
     ahead = across.rowsBetween(Window.unboundedPreceding, -1)
     heads = slotted.groupBy(*keys, "slot").agg(*totals)

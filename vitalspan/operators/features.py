@@ -201,14 +201,19 @@ def site_responses(
     recent = responses.where(_on_calendar("date_taken", as_of, steps))
     dated = recent.withColumn("month_start", F.to_date(F.trunc("date_taken", "MM"))).join(ends, "month_start")
     covered = F.col("date_taken").between(F.col("entry_date"), F.col("leave_date"))
-    return (
+    # Counted per session before sessions and titles join, so a large site meets them as few rows.
+    per_session = (
         dated.where(F.col("date_taken") <= F.col("month_end"))
         .join(enrolments, ["client", "student_id"])
         .where(covered)
-        .join(sessions, ["client", "session_id"])
+        .groupBy("client", "session_id", "month_start", "assessment_id")
+        .agg(F.count("student_id").alias("given"))
+    )
+    return (
+        per_session.join(sessions, ["client", "session_id"])
         .join(assessments, ["client", "assessment_id"])
         .groupBy("client", "academic_year", "month_start", "assessment_id", "title", "site_id")
-        .agg(F.count("student_id").alias("responses"))
+        .agg(F.sum("given").alias("responses"))
     )
 
 

@@ -111,7 +111,10 @@ def training_table(
 
 
 def longest_tenure_first(training: DataFrame) -> DataFrame:
-    return training.orderBy(F.col("subscriber_tenure_days").desc_nulls_first())
+    """Tenure descending, unknown first; the further keys let equal tenures spread over tasks."""
+    return training.orderBy(
+        F.col("subscriber_tenure_days").desc_nulls_first(), "sf_an", "start_date", "atd_database"
+    )
 
 
 def first_per_month(df: DataFrame, kept: str) -> DataFrame:
