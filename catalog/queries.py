@@ -139,7 +139,9 @@ def report_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def admin_first_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = a.tenant_tables(spark, sf_dir)
     months = features.admin_months(features.first_rollovers(t.basic_log, t.users, t.user_roles, t.roles), AS_OF)
-    return months.select("client", "user_id", "username", "month_start", "rollover_date")
+    return months.select(
+        "client", "user_id", "username", "month_start", "rollover_date", "roles", F.size("roles").alias("role_count")
+    )
 
 
 def admin_tenure(spark: SparkSession, sf_dir: str) -> DataFrame:

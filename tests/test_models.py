@@ -171,9 +171,9 @@ def test_far_cells_are_not_compared():
 
     pivots = np.array([[0.0], [100.0], [200.0]])
     cells = pd.DataFrame({"cell": [0, 1, 2], "radius": [1.0, 1.0, 1.0], "size": [9, 9, 9], "gaps": [[0.0, 0.1, 0.2, 0.3]] * 3})
-    assert sampling._block_pairs(cells, pivots, 4) == [(0, 0), (1, 1), (2, 2)]
+    assert sampling._cell_pairs(cells, pivots, 4) == [(0, 0), (1, 1), (2, 2)]
     sparse = cells.assign(gaps=[[0.0, 0.1, 0.2, 0.3], [0.0], [0.0, 0.1, 0.2, 0.3]])
-    assert (1, 0) in sampling._block_pairs(sparse, pivots, 4) and (1, 2) in sampling._block_pairs(sparse, pivots, 4)
+    assert (1, 0) in sampling._cell_pairs(sparse, pivots, 4) and (1, 2) in sampling._cell_pairs(sparse, pivots, 4)
 
 
 def test_sampling_touches_training_rows_only(spark, sample):

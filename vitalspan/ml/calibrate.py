@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -72,13 +73,22 @@ class CalibratedEnsemble:
 
 
 def calibrate(
-    rows: DataFrame, spec: ModelSpec, cost: float, key: str = "row_id", folds: int = 5, seed: int = 19, **options
+    rows: DataFrame,
+    spec: ModelSpec,
+    cost: float,
+    key: str = "row_id",
+    folds: int = 5,
+    seed: int = 19,
+    parallelism: int = 8,
+    **options,
 ) -> CalibratedEnsemble:
     """Fit on all folds but one, fit the sigmoid on the one left out, for each fold."""
     folded = cut_lineage(stratified_folds(rows, key, k=folds, seed=seed))
-    members = []
-    for fold in range(folds):
+
+    def member(fold: int) -> tuple[PipelineModel, float, float]:
         model = fit_model(folded.where(F.col("fold") != fold), spec, cost, **options)
         held = scores(model, folded.where(F.col("fold") == fold)).select("label", "score")
-        members.append((model, *fit_sigmoid(held)))
-    return CalibratedEnsemble(members)
+        return (model, *fit_sigmoid(held))
+
+    with ThreadPool(parallelism) as pool:
+        return CalibratedEnsemble(pool.map(member, range(folds)))

@@ -86,7 +86,7 @@ def _nearest_in_block(members: int):
     return run
 
 
-def _block_pairs(cells: pd.DataFrame, pivots: np.ndarray, members: int) -> list[tuple[int, int]]:
+def _cell_pairs(cells: pd.DataFrame, pivots: np.ndarray, members: int) -> list[tuple[int, int]]:
     """Cells that can hold a neighbour of some vector of a cell, by the triangle inequality."""
     count = len(pivots)
     radius = np.full(count, -1.0)
@@ -134,21 +134,26 @@ def nearest_rows(points: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) ->
         .join(closest.groupBy("cell").agg(F.sort_array(F.collect_list("gap")).alias("gaps")), "cell")
         .toPandas()  # one row per pivot
     )
+    # Pairs of cells, at most the square of the pivots; their blocks are spread by the executors.
     parts = {int(r.cell): max(1, math.ceil(r.size / block_rows)) for r in cells.itertuples()}
-    pairs = [
-        (i, j, a, b) for i, j in _block_pairs(cells, pivots, members) for a in range(parts[i]) for b in range(parts[j])
-    ]
-    # Pairs of blocks, not of rows: their number depends on the blocks alone.
-    wanted_pairs = spark.createDataFrame(pairs, "ask_cell int, held_cell int, ask_part int, held_part int")
+    pairs = spark.createDataFrame(
+        [(i, j, parts[i], parts[j]) for i, j in _cell_pairs(cells, pivots, members)],
+        "ask_cell int, held_cell int, ask_parts int, held_parts int",
+    )
     widths = spark.createDataFrame(list(parts.items()), "cell int, parts int")
-    blocked = placed.join(widths, "cell").withColumn("part", (F.pmod(F.xxhash64("vector_id"), "parts")).cast("int"))
+    blocked = placed.join(widths, "cell").withColumn("part", F.pmod(F.xxhash64("vector_id"), "parts").cast("int"))
     keys = ["ask_cell", "held_cell", "ask_part", "held_part"]
-    asking = blocked.join(
-        wanted_pairs, (F.col("cell") == F.col("ask_cell")) & (F.col("part") == F.col("ask_part"))
-    ).select(*keys, "vector_id", "vector")
-    held = blocked.join(
-        wanted_pairs, (F.col("cell") == F.col("held_cell")) & (F.col("part") == F.col("held_part"))
-    ).select(*[F.col(c).alias(c) for c in (*keys, "vector", "members")])  # names apart from the asking side's
+    asking = (
+        blocked.join(pairs, F.col("cell") == F.col("ask_cell"))
+        .withColumn("held_part", F.explode(F.sequence(F.lit(0), F.col("held_parts") - 1)))
+        .select("ask_cell", "held_cell", F.col("part").alias("ask_part"), "held_part", "vector_id", "vector")
+    )
+    held = (
+        blocked.join(pairs, F.col("cell") == F.col("held_cell"))
+        .withColumn("ask_part", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)))
+        .withColumnRenamed("part", "held_part")
+        .select(*[F.col(c).alias(c) for c in (*keys, "vector", "members")])  # names apart from the asking side's
+    )
     found = (
         asking.groupBy(*keys)
         .cogroup(held.groupBy(*keys))

@@ -92,10 +92,11 @@ def report_usage(
 
 
 def first_rollovers(basic_log: DataFrame, users: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:
-    """Users who edited a term: (client, user_id, username, rollover_date).
+    """Users who edited a term: (client, user_id, username, rollover_date, roles).
 
     The date is three months before the edit, the shift taken before the minimum since
     month arithmetic can reorder days. A user whose every role is the vendor's is left out.
+    ``roles`` lists the other roles' names, a NULL last for a nameless role or for no role.
     """
     edits = (
         basic_log.where(F.col("description").ilike(TERM_UPDATED))
@@ -106,14 +107,20 @@ def first_rollovers(basic_log: DataFrame, users: DataFrame, user_roles: DataFram
     held = (
         user_roles.join(roles, ["client", "role_id"], "left")
         .groupBy("client", "user_id")
-        .agg(F.max(other_role).alias("other_role"))
+        .agg(
+            F.max(other_role).alias("other_role"),
+            F.array_sort(F.collect_set(F.when(other_role, F.col("role_name")))).alias("named"),
+            F.max(F.col("role_name").isNull()).alias("nameless"),
+        )
     )
+    named = F.coalesce("named", F.array().cast("array<string>"))
+    roles_held = F.when(F.coalesce("nameless", F.lit(True)), F.array_append(named, F.lit(None).cast("string"))).otherwise(named)
     people = users.where(~F.col("username").ilike(VENDOR_USER))
     return (
         edits.join(people, ["client", "user_id"])
         .join(held, ["client", "user_id"], "left")
         .where(F.coalesce("other_role", F.lit(True)))
-        .select("client", "user_id", "username", "rollover_date")
+        .select("client", "user_id", "username", "rollover_date", roles_held.alias("roles"))
     )
 
 
