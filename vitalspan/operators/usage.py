@@ -120,8 +120,9 @@ def forward_band_range(usage: DataFrame, horizon_months: int = 3, month_starts:
     months its horizon touches.
     """
     code = band_code(F.col(BAND))
-    cells = usage.select(*CELL).distinct()
-    dated = cells.groupBy("atd_database", "start_date").agg(F.min(code).alias("low"), F.max(code).alias("high"))
+    # Partitioned as the join back needs, which also serves the deduplication: one shuffle.
+    cells = usage.select(*CELL).repartition("atd_database", "start_date").distinct()
+    dated = usage.groupBy("atd_database", "start_date").agg(F.min(code).alias("low"), F.max(code).alias("high"))
     number = F.year("start_date") * 12 + F.month("start_date")
     if month_starts:
         ahead = Window.partitionBy("atd_database").orderBy(number).rangeBetween(1, horizon_months)
