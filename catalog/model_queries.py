@@ -126,7 +126,7 @@ def evaluation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels_said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.scored_lines(spark, sf_dir).withColumn("prediction", evaluate.to_labels(F.col("score"), 0.5))
+    return a.scored_lines(spark, sf_dir).withColumn("prediction", evaluate.label_at(F.col("score"), 0.5))
 
 
 def roc_areas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vitalspan.functions.prefix import running_totals
 
 
-def to_labels(score: Column, threshold, inclusive: bool = True) -> Column:
+def label_at(score: Column, threshold, inclusive: bool = True) -> Column:
     """1 at or above the threshold, or only above it."""
     return (score >= threshold if inclusive else score > threshold).cast("int")
 
@@ -138,7 +138,7 @@ def best_threshold(sweep: DataFrame, by: str = "f1") -> DataFrame:
 
 def tuned_metrics(df: DataFrame, threshold: float, label: str = "label", score: str = "score", places: int = 4) -> DataFrame:
     """Metrics and hard-label AUC of ``score > threshold``, rounded."""
-    said = df.select(F.col(label).alias("label"), to_labels(F.col(score), threshold, inclusive=False).alias("prediction"))
+    said = df.select(F.col(label).alias("label"), label_at(F.col(score), threshold, inclusive=False).alias("prediction"))
     metrics = class_metrics(said, places=places)
     rate = (F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))) - (
         F.col("fp") / F.nullif(F.col("fp") + F.col("tn"), F.lit(0))
