@@ -1,6 +1,28 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), grams AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS gram
+            FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * common >= 75 * (p.n + q.n - common)
+        ), either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        walk(node, seen) AS (
+            SELECT a, a FROM links UNION SELECT a, b FROM either
+            UNION SELECT walk.node, either.b FROM walk JOIN either ON either.a = walk.seen
+        ), least_of AS (SELECT node, min(seen) AS component_id FROM walk GROUP BY node)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(component_id, d.doc_id), d.doc_id)::BIGINT AS component_id
+        FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON node = d.doc_id
+    """,
     "op7_decontam": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
