@@ -1,6 +1,40 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {
+    "op1_embeddings": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        ), g AS (
+            SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0
+              AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0
+        ), links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+        ), either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        walk(node, seen) AS (
+            SELECT a, b FROM either UNION SELECT walk.node, either.b FROM walk JOIN either ON either.a = walk.seen
+        ), least_of AS (SELECT node, min(seen) AS component_id FROM walk GROUP BY node),
+        degree AS (SELECT a AS node, count(*) AS n FROM either GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(component_id, vec_id), vec_id) AS component_id,
+               coalesce(least(component_id, vec_id), vec_id) = vec_id AS kept
+        FROM v LEFT JOIN least_of l ON l.node = vec_id LEFT JOIN degree d ON d.node = vec_id
+    """,
+    "op2_mixing": r"""
+        WITH counts AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
+        rates AS (SELECT source, sum(n) OVER () * weight / sum(weight) OVER () / n AS rate FROM counts),
+        terms AS (
+            SELECT source, rate, k, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS log_factorial
+            FROM rates, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT + 1)) AS u(k)
+        ), steps AS (
+            SELECT source, k, sum(exp(k * ln(rate) - rate - log_factorial)) OVER (PARTITION BY source ORDER BY k) AS p FROM terms
+        ), drawn AS (
+            SELECT d.*, ('0x' || substr(md5('mix-1:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents d
+        ), times AS (
+            SELECT doc_id, count(*) AS n FROM drawn JOIN steps USING (source) WHERE p <= u GROUP BY doc_id
+        )
+        SELECT d.*, copy, md5('mix-1:' || d.doc_id::VARCHAR || ':' || copy::VARCHAR) AS shuffle_key
+        FROM documents d JOIN times USING (doc_id), unnest(range(1, n + 1)) AS u(copy)
+    """,
     "op3_jaccard": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
