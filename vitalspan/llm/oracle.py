@@ -57,6 +57,23 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(component_id, d.doc_id), d.doc_id)::BIGINT AS component_id
         FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON node = d.doc_id
     """,
+    "op6_urls": r"""
+        WITH r AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
+        ), rules(verdict, h, p) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ), best AS (
+            SELECT page_id, max_by(h || rules.p, length(h || rules.p)) AS rule, max_by(verdict, length(h || rules.p)) AS verdict
+            FROM p JOIN rules ON ends_with('.' || host, '.' || h) AND starts_with(path, rules.p) GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE
+            WHEN host = '' OR regexp_matches(host, 'spam|pills|casino|viagra|porn|xxx|payday|warez')
+              OR contains(path, '/wp-login.php') OR contains(path, '/cgi-bin/') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN best USING (page_id)
+    """,
     "op7_decontam": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
