@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import decontam, jaccard, mixing, tokens, urls, vectors
+from vitalspan.llm import decontam, jaccard, mixing, quality, tokens, urls, vectors
 from vitalspan.session import configure, scratch_path
 
 
@@ -34,6 +34,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_mixing": op2_mixing,
     "op3_jaccard": op3_jaccard,
+    "op4_quality": op4_quality,
     "op6_urls": op6_urls,
     "op7_decontam": op7_decontam,
     "op10_tokens": op10_tokens,
