@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import decontam, jaccard, mixing, quality, tokens, urls, vectors
+from vitalspan.llm import decontam, jaccard, mixing, quality, tokens, toxicity, urls, vectors
 from vitalspan.session import configure, scratch_path
 
 
@@ -56,6 +56,10 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file())
@@ -69,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_urls": op6_urls,
     "op7_decontam": op7_decontam,
+    "op8_toxicity": op8_toxicity,
     "op10_tokens": op10_tokens,
 }
