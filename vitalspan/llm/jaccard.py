@@ -29,7 +29,7 @@ WORDS = 5
 #: Up to this size every element is a cell of its own.
 SMALL = 48
 BUCKET_KEYS = 3_000_000
-#: Keys of more classes than this are joined by hubs first.
+#: Keys of more classes than this are joined in SQL, where AQE can split them.
 HOT = 64
 #: Classes whose names may be broadcast (8 bytes each); more go through a shuffle join.
 BROADCAST_CLASSES = 500_000
@@ -190,19 +190,23 @@ def _prefixes(table: pa.Table) -> pa.Table:
         size = np.diff(np.append(first, len(keys)))
         rank = np.arange(len(keys)) - np.repeat(first, size)
         alone = p - np.repeat(size, size)
+        # How many classes a cell of the set is in: high in the midst of a group of copies.
+        middle = np.repeat(np.add.reduceat(df.astype(np.float64), first), size) / p
         keep = rank < np.minimum(p, n // 3 + 1) - alone
-        name, n, keys, df = name[keep], n[keep], keys[keep], df[keep]
-    return pa.table([keys.view(np.int64), name, n, df.astype(np.int64)], names=["key", "c", "n", "df"])
+        name, n, keys, df, middle = name[keep], n[keep], keys[keep], df[keep], middle[keep]
+    else:
+        middle = np.zeros(0)
+    return pa.table([keys.view(np.int64), name, n, df.astype(np.int64), middle], names=["key", "c", "n", "df", "middle"])
 
 
 def _pairs(table: pa.Table) -> pa.Table:
-    """Pairs of classes with a key in common and sizes that allow for a link."""
-    key, c, n = (table.column(x).to_numpy() for x in ("key", "c", "n"))
+    """Pairs of classes of two components with a common key and sizes that allow for a link."""
+    key, c, n, component = (table.column(x).to_numpy() for x in ("key", "c", "n", "component"))
     order = np.lexsort((n, key))
-    key, c, n = key[order], c[order], n[order]
+    key, c, n, component = key[order], c[order], n[order], component[order]
     left, right = [], []
     for step in range(1, len(key)):
-        fits = (key[step:] == key[:-step]) & (3 * n[step:] <= 4 * n[:-step])
+        fits = (key[step:] == key[:-step]) & (3 * n[step:] <= 4 * n[:-step]) & (component[step:] != component[:-step])
         if not (key[step:] == key[:-step]).any():
             break
         left.append(c[:-step][fits])
@@ -267,30 +271,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     packed = docs.select("text").mapInArrow(_sketches(buckets), "bucket int, heads binary, keys binary")
     back = packed.groupBy("bucket").applyInArrow(_repeated(buckets), "bucket int, heads binary, keys binary, dfs binary")
-    keyed = cut_lineage(back.groupBy("bucket").applyInArrow(_prefixes, "key long, c long, n long, df long"))
+    keyed = cut_lineage(back.groupBy("bucket").applyInArrow(_prefixes, "key long, c long, n long, df long, middle double"))
+
+    # First each class meets a few hubs of the commonest of its keys: the one that shares most
+    # of its set, which in a group of copies is the likeliest to be near them all, and two
+    # others. That puts most of a group together with as many candidates as it has classes.
+    common = keyed.groupBy("c").agg(F.max_by(F.struct("key", "n"), F.struct("df", "key")).alias("top")).select("c", "top.*")
+    at = keyed.join(common.select("key").distinct(), "key", "left_semi")
+    ranks = [F.struct(-F.col("middle"), F.col("c")), *[F.struct(F.xxhash64("c", F.lit(i)), F.col("c")) for i in range(2)]]
+    hubs = at.groupBy("key").agg(*[F.min_by(F.struct("c", "n"), r).alias(f"h{i}") for i, r in enumerate(ranks)])
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(len(ranks))]))).alias("hub"))
+    met = common.join(hubs, "key").where(_sizes("n", "hub.n")).select("c", F.col("hub.c").alias("d"))
+    pairs = cut_lineage(_ordered(met))
+    links = _links(docs, pairs)
 
+    # Then classes with a common key that are still apart meet each other.
+    groups = components(links).withColumnRenamed("node", "c")
+    keyed = keyed.join(groups, "c", "left").select("key", "c", "n", "df", F.coalesce("component", "c").alias("component"))
+    apart = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    keyed = cut_lineage(keyed.join(apart.select("key"), "key", "left_semi"))
     parts = int(keyed.count() / BUCKET_KEYS * 8) + 1
     cold = keyed.where(F.col("df") <= HOT).withColumn("part", F.pmod("key", F.lit(parts)))
-    pairs = cut_lineage(cold.groupBy("part").applyInArrow(_pairs, "a long, b long").distinct())
+    rest = cold.groupBy("part").applyInArrow(_pairs, "a long, b long")
     hot = keyed.where(F.col("df") > HOT)
-    if hot.take(1):
-        # Copies in large numbers: each class meets a few hubs of its key, which links most.
-        hubs = hot.groupBy("key").agg(*[F.min_by(F.struct("c", "n"), F.xxhash64("c", F.lit(i))).alias(f"h{i}") for i in range(3)])
-        hubs = hubs.select("key", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub"))
-        met = hot.join(hubs, "key").where(_sizes("n", "hub.n")).select("c", F.col("hub.c").alias("d"))
-        pairs = cut_lineage(pairs.union(_ordered(met)).distinct())
-    links = _links(docs, pairs)
-    if hot.take(1):
-        # Classes of one key that are still apart meet each other.
-        found = components(links)
-        named = hot.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        named = cut_lineage(named.join(apart.select("key"), "key", "left_semi"))
-        other = named.select("key", F.col("c").alias("d"), F.col("n").alias("m"), F.col("component").alias("other"))
-        met = named.join(other, "key").where((F.col("component") < F.col("other")) & _sizes("n", "m")).select("c", "d")
-        rest = cut_lineage(_ordered(met).distinct().join(pairs, ["a", "b"], "left_anti"))
-        if rest.take(1):
-            links = links.union(_links(docs, rest))
+    other = hot.select("key", F.col("c").alias("d"), F.col("n").alias("m"), F.col("component").alias("other"))
+    met = hot.join(other, "key").where((F.col("component") < F.col("other")) & _sizes("n", "m")).select("c", "d")
+    rest = cut_lineage(rest.union(_ordered(met)).distinct().join(pairs, ["a", "b"], "left_anti"))
+    if rest.take(1):
+        links = links.union(_links(docs, rest))
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
