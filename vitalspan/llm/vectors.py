@@ -85,7 +85,10 @@ def spanning(pairs: np.ndarray, n: int, m: int, same: bool) -> np.ndarray:
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    vectors = np.array(table.column("unit").to_pylist(), np.float64)
+    vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    # Scaled by the largest component first, so that no square overflows or vanishes.
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     return pa.table(
         [
             table.column("label").slice(0, 1),
@@ -142,12 +145,9 @@ def near_duplicates(
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    largest = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    good = F.col("label").isNotNull() & F.coalesce(finite & (largest > 0), F.lit(False))
+    nonzero = F.exists("v", lambda x: x != 0)
+    good = F.col("label").isNotNull() & F.coalesce(finite & nonzero, F.lit(False))
     rows = rows.withColumn("good", good)
-    # Scaled by its largest component first, so that no square overflows or vanishes.
-    scaled = F.transform("v", lambda x: x / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
     keyed = F.when(F.col("good"), F.struct("label", "v"))
     rows = rows.select("vec_id", "good", "label", F.when(F.col("good"), F.col("v")).alias("v"), F.xxhash64(keyed).alias("h"))
 
@@ -155,7 +155,7 @@ def near_duplicates(
     classes = cut_lineage(classes.withColumn("c", F.monotonically_increasing_id()))
     sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / tile).alias("tiles"))
     units = classes.withColumn("dim", F.size("v")).join(sizes, ["label", "dim"])
-    units = units.select("label", "dim", F.pmod(F.xxhash64("c"), "tiles").alias("tile"), "c", "n", F.transform(scaled, lambda x: x / norm).alias("unit"))
+    units = units.select("label", "dim", F.pmod(F.xxhash64("c"), "tiles").alias("tile"), "c", "n", "v")
     kind = rows.schema["label"].dataType.simpleString()
     tiles = cut_lineage(units.groupBy("label", "dim", "tile").applyInArrow(_pack, _TILE_SCHEMA.format(label=kind)))
 
