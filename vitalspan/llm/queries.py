@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import decontam, jaccard, mixing, quality, tokens, toxicity, urls, vectors
+from vitalspan.llm import decontam, jaccard, mixing, pii, quality, tokens, toxicity, urls, vectors
 from vitalspan.session import configure, scratch_path
 
 
@@ -38,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
+    "op5_pii": op5_pii,
     "op6_urls": op6_urls,
     "op7_decontam": op7_decontam,
     "op8_toxicity": op8_toxicity,
