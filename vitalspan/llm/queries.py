@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import decontam, jaccard, mixing, pii, quality, tokens, toxicity, urls, vectors
+from vitalspan.llm import decontam, jaccard, mixing, pii, quality, secrets, tokens, toxicity, urls, vectors
 from vitalspan.session import configure, scratch_path
 
 
@@ -64,6 +64,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file())
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_urls": op6_urls,
     "op7_decontam": op7_decontam,
     "op8_toxicity": op8_toxicity,
+    "op9_secrets": op9_secrets,
     "op10_tokens": op10_tokens,
 }
