@@ -28,7 +28,7 @@ from vitalspan.session import cut_lineage
 WORDS = 5
 #: Up to this size every element is a cell of its own.
 SMALL = 48
-BUCKET_KEYS = 3_000_000
+BUCKET_KEYS = 2_000_000
 #: Keys of more classes than this are joined in SQL, where AQE can split them.
 HOT = 64
 #: Classes whose names may be broadcast (8 bytes each); more go through a shuffle join.
@@ -120,7 +120,7 @@ def _packed(bucket: np.ndarray, owner: np.ndarray, heads: np.ndarray, *values: n
 def _sketches(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ByteWords(SPACED)
-        for batch in slices(batches, "text", 24 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             heads, keys, seen = [], [], set()
             for part in slices(iter([batch]), "text"):
                 for s in shingle_sets(part, words):
@@ -220,11 +220,44 @@ def _pairs(table: pa.Table) -> pa.Table:
     return pa.table([a[fresh], b[fresh]], names=["a", "b"])
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """One bit a cell: whether an odd number of elements fell into it.
+
+    Four times as many bits as elements, rounded up to a power of two of at least 64; a sketch
+    folds to fewer bits by XOR of its halves.
+    """
+    size = 64
+    while size < 4 * len(shingles):
+        size *= 2
+    place = (shingles & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Unequal bits of two sketches, the larger folded to the smaller."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches differ in no more bits than linked sets may have elements apart."""
+    for batch in batches:
+        left, right = ([np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(c)] for c in ("left", "right"))
+        most = (batch.column("n").to_numpy() + batch.column("m").to_numpy()) // 7
+        good = [_distance(x, y) <= d for x, y, d in zip(left, right, most.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = ByteWords(SPACED)
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch, words)
-        yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "shingles"])
+        columns = [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+        columns += [pa.array([f(s) for s in sets], pa.binary()) for f in (parity_bits, np.ndarray.tobytes)]
+        yield pa.RecordBatch.from_arrays(columns, names=["c", "n", "bits", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +276,17 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) that link."""
     wanted = cut_lineage(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct())
     many = wanted.count()
-    sets = docs.mapInArrow(_sets, "c long, shingles binary")
+    sets = docs.mapInArrow(_sets, "c long, n long, bits binary, shingles binary")
     sets = sets.join(F.broadcast(wanted) if many <= BROADCAST_CLASSES else wanted, "c", "left_semi")
-    sets = cut_lineage(sets.groupBy("c").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("left")), "a")
-    both = both.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("right")), "b")
-    return cut_lineage(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"))
+    sets = cut_lineage(sets.groupBy("c").agg(F.first(F.struct("n", "bits", "shingles")).alias("s")).select("c", "s.*"))
+
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        left = sets.select(F.col("c").alias("a"), "n", F.col(column).alias("left"))
+        right = sets.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col(column).alias("right"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
+
+    near = cut_lineage(both(pairs, "bits").mapInArrow(_near, "a long, b long"))
+    return cut_lineage(both(near, "shingles").mapInArrow(_verify, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
