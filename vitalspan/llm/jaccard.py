@@ -29,8 +29,8 @@ WORDS = 5
 #: Up to this size every element is a cell of its own.
 SMALL = 48
 BUCKET_KEYS = 2_000_000
-#: Keys of more classes than this are joined in SQL, where AQE can split them.
-HOT = 64
+#: Classes of one key that meet in one piece; a key of more makes several pieces.
+PIECE = 4_096
 #: Classes whose names may be broadcast (8 bytes each); more go through a shuffle join.
 BROADCAST_CLASSES = 500_000
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -199,25 +199,45 @@ def _prefixes(table: pa.Table) -> pa.Table:
     return pa.table([keys.view(np.int64), name, n, df.astype(np.int64), middle], names=["key", "c", "n", "df", "middle"])
 
 
-def _pairs(table: pa.Table) -> pa.Table:
-    """Pairs of classes of two components with a common key and sizes that allow for a link."""
-    key, c, n, component = (table.column(x).to_numpy() for x in ("key", "c", "n", "component"))
-    order = np.lexsort((n, key))
-    key, c, n, component = key[order], c[order], n[order], component[order]
-    left, right = [], []
-    for step in range(1, len(key)):
-        fits = (key[step:] == key[:-step]) & (3 * n[step:] <= 4 * n[:-step]) & (component[step:] != component[:-step])
-        if not (key[step:] == key[:-step]).any():
-            break
-        left.append(c[:-step][fits])
-        right.append(c[step:][fits])
-    none = np.zeros(0, np.int64)
-    left, right = np.concatenate([none, *left]), np.concatenate([none, *right])
-    a, b = np.minimum(left, right), np.maximum(left, right)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-    return pa.table([a[fresh], b[fresh]], names=["a", "b"])
+def _folded(bits: list[np.ndarray]) -> np.ndarray:
+    """Sketches folded to the size of the smallest."""
+    size = min(map(len, bits))
+    out = np.zeros((len(bits), size), np.uint64)
+    for k, x in enumerate(bits):
+        out[k] = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+    return out
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Pairs of classes of two components with a common key, by size and by parity sketch.
+
+    The key's classes outside its largest component (role 1) meet all its classes (role 0).
+    """
+    columns = ("key", "block", "other_block", "role", "c", "n", "component", "minor")
+    key, block, other, role, c, n, component, minor = (table.column(x).to_numpy() for x in columns)
+    bits = [np.frombuffer(v.as_buffer(), "<u8") for v in table.column("bits").combine_chunks()]
+    order = np.lexsort((role, other, block, key))
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(block[order]) != 0) | (np.diff(other[order]) != 0)]))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
+        rows = order[lo:hi]
+        cut = int(np.searchsorted(role[rows], 1))
+        every, few = rows[:cut], rows[cut:]
+        if not len(every) or not len(few):
+            continue
+        short = _folded([bits[k] for k in rows])
+        most = max(1, (1 << 21) // (cut * short.shape[1]))
+        for at in range(0, len(few), most):
+            mine = few[at : at + most]
+            fits = (component[mine][:, None] != component[every]) & (~minor[every] | (c[mine][:, None] < c[every]))
+            fits &= 3 * np.maximum(n[mine][:, None], n[every]) <= 4 * np.minimum(n[mine][:, None], n[every])
+            apart = np.bitwise_count(short[cut + at : cut + at + len(mine), None] ^ short[:cut]).sum(axis=2, dtype=np.int64)
+            x, y = np.nonzero(fits & (apart <= (n[mine][:, None] + n[every]) // 7))
+            left.append(c[mine[x]])
+            right.append(c[every[y]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0)
+    return pa.table([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
@@ -272,21 +292,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the candidate pairs (a, b) that link."""
-    wanted = cut_lineage(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct())
-    many = wanted.count()
+def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Size, sketch and set of the classes (c) asked for."""
+    wanted = cut_lineage(wanted)
     sets = docs.mapInArrow(_sets, "c long, n long, bits binary, shingles binary")
-    sets = sets.join(F.broadcast(wanted) if many <= BROADCAST_CLASSES else wanted, "c", "left_semi")
-    sets = cut_lineage(sets.groupBy("c").agg(F.first(F.struct("n", "bits", "shingles")).alias("s")).select("c", "s.*"))
+    sets = sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted, "c", "left_semi")
+    return cut_lineage(sets.groupBy("c").agg(F.first(F.struct("n", "bits", "shingles")).alias("s")).select("c", "s.*"))
 
-    def both(pairs: DataFrame, column: str) -> DataFrame:
-        left = sets.select(F.col("c").alias("a"), "n", F.col(column).alias("left"))
-        right = sets.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col(column).alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
 
-    near = cut_lineage(both(pairs, "bits").mapInArrow(_near, "a long, b long"))
-    return cut_lineage(both(near, "shingles").mapInArrow(_verify, "a long, b long"))
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    left = sets.select(F.col("c").alias("a"), "n", F.col(column).alias("left"))
+    right = sets.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col(column).alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,22 +338,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(len(ranks))]))).alias("hub"))
     met = common.join(hubs, "key").where(_sizes("n", "hub.n")).select("c", F.col("hub.c").alias("d"))
     pairs = cut_lineage(_ordered(met))
-    links = _links(docs, pairs)
+    sets = _whole(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    near = cut_lineage(_both(pairs, sets, "bits").mapInArrow(_near, "a long, b long"))
+    links = cut_lineage(_both(near, sets, "shingles").mapInArrow(_verify, "a long, b long"))
 
-    # Then classes with a common key that are still apart meet each other.
+    # Then classes with a common key that are still apart meet each other, in pieces of bounded
+    # size that only hand on what the sketches leave.
     groups = components(links).withColumnRenamed("node", "c")
-    keyed = keyed.join(groups, "c", "left").select("key", "c", "n", "df", F.coalesce("component", "c").alias("component"))
-    apart = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    keyed = cut_lineage(keyed.join(apart.select("key"), "key", "left_semi"))
-    parts = int(keyed.count() / BUCKET_KEYS * 8) + 1
-    cold = keyed.where(F.col("df") <= HOT).withColumn("part", F.pmod("key", F.lit(parts)))
-    rest = cold.groupBy("part").applyInArrow(_pairs, "a long, b long")
-    hot = keyed.where(F.col("df") > HOT)
-    other = hot.select("key", F.col("c").alias("d"), F.col("n").alias("m"), F.col("component").alias("other"))
-    met = hot.join(other, "key").where((F.col("component") < F.col("other")) & _sizes("n", "m")).select("c", "d")
-    rest = cut_lineage(rest.union(_ordered(met)).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if rest.take(1):
-        links = links.union(_links(docs, rest))
+    keyed = keyed.join(groups, "c", "left").select("key", "c", "n", F.coalesce("component", "c").alias("component"))
+    parties = keyed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    parties = parties.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    parties = parties.where(F.col("all") > F.col("most"))
+    keyed = cut_lineage(keyed.join(parties, "key").withColumn("minor", F.col("component") != F.col("top")))
+    sets = _whole(docs, keyed.select("c").distinct())
+    blocks, others = F.ceil(F.col("all") / PIECE), F.ceil((F.col("all") - F.col("most")) / PIECE)
+    shared = ["key", "c", "n", "component", "minor"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("c"), n)
+    every = keyed.select(*shared, F.lit(0).alias("role"), own(blocks).alias("block"), spread(others).alias("other_block"))
+    few = keyed.where("minor").select(*shared, F.lit(1).alias("role"), own(others).alias("other_block"), spread(blocks).alias("block"))
+    parts = int(keyed.count() / (4 * PIECE)) + 1
+    met = every.unionByName(few).withColumn("part", F.pmod(F.xxhash64("key", "block", "other_block"), F.lit(parts)))
+    met = met.join(sets.select("c", "bits"), "c").groupBy("part").applyInArrow(_meet, "a long, b long")
+    near = cut_lineage(met.distinct())
+    links = links.union(cut_lineage(_both(near, sets, "shingles").mapInArrow(_verify, "a long, b long")))
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
