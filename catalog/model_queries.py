@@ -71,8 +71,9 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ModelSpec]:
-    names = tuple(f"e{i}" for i in range(64))
     rows = a.labelled_vectors(spark, sf_dir)
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = tuple(f"e{i}" for i in range(width))
     return rows.select("row_id", "label", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)]), ModelSpec(
         names, folds=3
     )

@@ -151,12 +151,17 @@ def admin_tenure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nations taken as one district."""
+    """A region's nations taken as one district."""
     t = a.tenant_tables(spark, sf_dir)
-    one = F.regexp_replace("client", "^.*$", "district")
-    district = {n: getattr(t, n).withColumn("client", one) for n in ("responses", "enrolments", "session_dates")}
-    district |= {n: getattr(t, n).withColumn("client", one).distinct() for n in ("sessions", "assessments")}
-    owner = t.clients.select(one.alias("client")).distinct().withColumn("sf_an", F.lit("none"))
+    nations, regions = a.table(spark, sf_dir, "nation"), a.table(spark, sf_dir, "region")
+    districts = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select(F.col("n_name").alias("client"), "r_name")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.join(districts, "client").withColumn("client", F.col("r_name")).select(*rows.columns)
+
+    district = {n: whole(getattr(t, n)) for n in ("responses", "enrolments", "session_dates")}
+    district |= {n: whole(getattr(t, n)).distinct() for n in ("sessions", "assessments")}
+    owner = whole(t.clients.select("client")).distinct().withColumn("sf_an", F.lit("none"))
     return features.common_assessments(owner, as_of=AS_OF, **district).drop("sf_an")
 
 

@@ -105,7 +105,7 @@ def test_stored_sets_are_replaced(spark):
     assert "IsNotNull(hs_did_change)" in plan(tables.read_labelled(spark, path))
 
 
-def test_materialized_set_is_recreated(spark, monkeypatch):
+def test_materialized_set_is_recreated(spark):
     df = spark.createDataFrame([(1,)], "n int")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS vs_test LOCATION '{scratch_path(spark, 'db')}'")
     tables.materialize(df, "vs_test.training_set")

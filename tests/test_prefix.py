@@ -27,6 +27,13 @@ def test_ranks_equal_a_global_window(spark, descending):
     assert rows(got, "k", "v", "rank") == rows(want, "k", "v", "rank")
 
 
+def test_any_number_of_keys(spark):
+    df = spark.range(6000).select((F.col("id") % 2000).cast("string").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    order = Window.partitionBy("k").orderBy(F.desc("v"))
+    want = df.withColumn("rank", F.rank().over(order)).distinct()
+    assert rows(rank_values(df, "v", ["k"]), "k", "v", "rank") == rows(want, "k", "v", "rank")
+
+
 def test_row_ranks_keep_every_row(spark):
     df = values(spark, 2)
     want = df.withColumn("rank", F.rank().over(Window.orderBy(F.col("v").desc_nulls_first())))

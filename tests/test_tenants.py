@@ -51,7 +51,7 @@ def test_extract_is_incremental_and_replaces_whole_tenants(spark):
     schema = T.StructType.fromDDL("n int, t string")
     found = tenant_files.read_tenant_csv(spark, path, schema)
     assert rows(found, "client", "n", "t") == [("a_b", 1, "x"), ("a_b", 2, None), ("c", 9, "z")]
-    assert rows(tenant_files.finished_tenants(spark, path, schema), "client") == [("a_b",), ("c",)]
+    assert rows(tenant_files.finished_tenants(spark, path), "client") == [("a_b",), ("c",)]
     asked = spark.createDataFrame([("a_b",), ("c",), ("gone",)], "client string")
     assert rows(tenants.row_ledger(asked, found), "client", "row_count") == [("a_b", 2), ("c", 1), ("gone", 0)]
 

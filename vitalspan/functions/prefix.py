@@ -1,45 +1,21 @@
 """Exact running totals and ranks over a global order, without a one-task window.
 
-The input holds one row per (keys, value). Approximate quantiles cut the value range
-into slots; they only decide which task gets which rows. Slot totals (a few hundred rows
-per key) give each slot its starting sum, and a window inside the slot does the rest.
-The cut points are literals in the plan, so a re-run stage cuts at the same places.
+The input holds one row per (keys, value). One range shuffle by keys and value deals rows to
+slots, the partition each row is in; slot totals give each slot its starting sum, and a window
+inside the slot does the rest. The dealt rows are written once, so every later pass and every
+retried task sees the same slots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.session import cut_lineage
 
 
-MOST_SLOTS = 256
-MOST_CUTS = 1_024
-
-
-def _slots(df: DataFrame, value: str, keys: Sequence[str], slots: int | None) -> Column:
-    """How many cut points of the row's key lie at or below its value; -1 for NULL."""
-    number = F.col(value).cast("double")
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = slots or max(8, min(MOST_SLOTS, 2 * tasks))
-    shares = [i / steps for i in range(1, steps)]
-    found = df.groupBy(*keys).agg(F.percentile_approx(number, shares, 2_000).alias("cuts")).collect()
-    cuts = F.array().cast("array<double>")
-    sparser = -(-len(found) * steps // MOST_CUTS)  # many keys need fewer cuts each
-    for row in found:
-        match = F.lit(True)
-        for key in keys:
-            match = match & F.col(key).eqNullSafe(F.lit(row[key]))
-        points = sorted(set(row["cuts"] or []))[:: max(1, sparser)]
-        if points:
-            cuts = F.when(match, F.lit(points)).otherwise(cuts)
-    below = F.size(F.filter(cuts, lambda cut: cut <= number))
-    return F.when(number.isNull(), F.lit(-1)).otherwise(below)
-
-
 def running_totals(
     df: DataFrame,
     value: str,
@@ -51,23 +27,21 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<sum>_before``: the total of each sum over rows strictly ahead in the order.
 
-    NULL values come first when descending and last when ascending. ``keys`` must have few
-    combinations (cohorts, folds). With ``following``, ``<sum>_next`` is the sum held by
-    the next row in the order, NULL on the last one.
+    NULL values come first when descending and last when ascending; there may be any number
+    of ``keys``. ``slots`` is the number of partitions, by default that of shuffles. With
+    ``following``, ``<sum>_next`` is the sum held by the next row in the order, NULL on the
+    last one.
     """
-    df = cut_lineage(df)
-    slotted = df.withColumn("slot", _slots(df, value, keys, slots))
-    if descending:
-        slotted = slotted.withColumn("slot", F.when(F.col("slot") == -1, F.lit(-1)).otherwise(1_000_000 - F.col("slot")))
-        order, outermost = F.col(value).desc_nulls_first(), F.max_by
-    else:
-        slotted = slotted.withColumn("slot", F.when(F.col("slot") == -1, F.lit(1_000_000)).otherwise(F.col("slot")))
-        order, outermost = F.col(value).asc_nulls_last(), F.min_by
+    slots = slots or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_last()
+    outermost = F.max_by if descending else F.min_by
+    placed = df.repartitionByRange(slots, *[F.col(k).asc_nulls_first() for k in keys], order)
+    slotted = cut_lineage(placed.withColumn("slot", F.spark_partition_id()))
 
     totals = [F.sum(s).alias(f"{s}_slot") for s in sums]
     if following:
         opening = F.struct(*[F.col(s).alias(s) for s in sums])
-        # The slot of the NULL value holds that one row, which has no place in the order.
+        # A NULL opens a slot only where it is the slot's one value.
         totals.append(F.coalesce(outermost(opening, F.col(value)), F.max(opening)).alias("opening"))
     across = Window.partitionBy(*keys).orderBy("slot")
     ahead = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -85,8 +59,6 @@ def running_totals(
         if following:
             local = local.withColumn(f"{s}_after", F.lead(s).over(inside))
 
-    # At most one row per key and slot: a few thousand rows whatever the input size.
-    heads = F.broadcast(heads)
     if keys:
         on = [local[k].eqNullSafe(heads[k]) for k in keys] + [local["slot"] == heads["slot"]]
     else:

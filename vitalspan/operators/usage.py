@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.functions.bands import band_code, change_order, change_outcome
-from vitalspan.functions.skew import HOT_ROWS, hot_keys, is_hot
 
 # Months when schools are mostly out of session.
 OFF_MONTHS = (6, 7, 8, 12)
@@ -48,19 +47,11 @@ def _lag_columns(steps: int, day, band, score) -> list:
     ]
 
 
-def _plain_lags(usage: DataFrame, lags: Sequence[int]) -> DataFrame:
-    history = Window.partitionBy("sf_an").orderBy("start_date", "atd_database")
-    out = ["sf_an", "start_date"]
-    for steps in lags:
-        out += _lag_columns(steps, *[F.lag(c, steps).over(history) for c in ("start_date", BAND, SCORE)])
-    return usage.select(*out)
-
-
-def _split_lags(usage: DataFrame, lags: Sequence[int]) -> DataFrame:
-    """The same lags with the work cut by (account, month).
+def health_lags(usage: DataFrame, lags: Sequence[int] = LAGS) -> DataFrame:
+    """Date, band and score N rows back per account; ties in a month go by database.
 
-    Each month hands on its last rows only; a month's rows look back into what the
-    months before it handed on.
+    The work is cut by (account, month), so no account is one task: each month hands on its
+    last rows only, and a month's rows look back into what the months before it handed on.
     """
     reach = max(lags)
     month = Window.partitionBy("sf_an", "start_date")
@@ -96,18 +87,6 @@ def _split_lags(usage: DataFrame, lags: Sequence[int]) -> DataFrame:
     return joined.select(*out)
 
 
-def health_lags(usage: DataFrame, lags: Sequence[int] = LAGS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Date, band and score N rows back per account; ties in a month go by database.
-
-    One shuffle by account. Accounts with more than ``hot_rows`` rows are split by month.
-    """
-    hot = hot_keys(usage, "sf_an", hot_rows)
-    if not hot:
-        return _plain_lags(usage, lags)
-    large = is_hot(F.col("sf_an"), hot)
-    return _plain_lags(usage.where(~large), lags).unionByName(_split_lags(usage.where(large), lags))
-
-
 CELL = ["sf_an", "atd_database", SCORE, BAND, "start_date"]
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.functions.bands import band_code
-from vitalspan.functions.skew import HOT_ROWS
 from vitalspan.operators.calendar import as_day
 from vitalspan.operators.tenure import earliest_starts
 from vitalspan.operators.tickets import ticket_rollup
@@ -70,7 +69,6 @@ def training_table(
     subscriptions: DataFrame,
     as_of,
     years_back: int = 5,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Change flag, measures, tickets, tenure and lag bands per (account, database, month).
 
@@ -80,7 +78,7 @@ def training_table(
     """
     panel = scrub_usage(usage)
     month = ["sf_an", "start_date"]
-    lags = health_lags(panel, hot_rows=hot_rows).select(*month, *LAG_BANDS)
+    lags = health_lags(panel).select(*month, *LAG_BANDS)
     counts = ticket_rollup(tickets, orgs, panel).select(*month, "ticket_count")
     reached = earliest_starts(subscriptions, as_of, years_back).select(
         F.col("account_number").alias("tenure_account"), "earliest_start"

@@ -44,6 +44,8 @@ def combine_csv(spark: SparkSession, paths: list[str], schemas: list[T.StructTyp
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def finished_tenants(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Tenants that already have output; only folder names are read."""
-    return read_tenant_csv(spark, path, schema).select("client").distinct()
+def finished_tenants(spark: SparkSession, path: str) -> DataFrame:
+    """Tenants that already have output, from the listing of files; none is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    folder = F.regexp_extract("path", "/client=([^/]*)/", 1)
+    return listed.select(F.url_decode(folder).alias("client")).where("client <> ''").distinct()
