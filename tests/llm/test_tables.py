@@ -129,14 +129,14 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, base):
     toxic = {r["doc_id"] for r in queries.op8_toxicity(spark, SF).collect() if r["predicted"]}
     assert {r["doc_id"] for r in clean.select("doc_id").collect()} == {i for i, _ in documents(base)} - toxic
 
-    left = base.execute("SELECT * FROM documents WHERE doc_id NOT IN (SELECT unnest(?)) ORDER BY doc_id", [list(toxic)]).fetch_arrow_table()
+    left = base.execute("SELECT * FROM documents WHERE doc_id NOT IN (SELECT unnest(?)) ORDER BY doc_id", [list(toxic)]).to_arrow_table()
     small = duckdb.connect()
     small.register("documents", left)
     small.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
     columns = ", ".join(docs.columns)
     for name in ("op3_jaccard", "op7_decontam"):
         keep = "doc_id = component_id" if name == "op3_jaccard" else "NOT contaminated"
-        kept = small.sql(f"SELECT {columns} FROM documents JOIN (SELECT doc_id FROM ({oracle.ORACLES[name]}) WHERE {keep}) USING (doc_id)").fetch_arrow_table()
+        kept = small.sql(f"SELECT {columns} FROM documents JOIN (SELECT doc_id FROM ({oracle.ORACLES[name]}) WHERE {keep}) USING (doc_id)").to_arrow_table()
         small.register("documents", kept)
     mixed = small.sql(f"SELECT doc_id, text FROM ({oracle.ORACLES['op2_mixing']}) ORDER BY shuffle_key").fetchall()
     got = pipeline.run(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32")
