@@ -56,6 +56,19 @@ def test_jaccard_edges(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "5", "6", "7", "None", "8", "9"])
 
 
+def test_one_row_of_each_group_stays_whatever_its_doc_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other, third = " ".join([*base[:-1], "v"]), " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    base = " ".join(base)
+    made = [(None, base), (None, base), (None, near)]  # only NULL doc_ids
+    made += [(5, other), (5, third), (6, third), (None, third), (7, other), (None, other)]  # 5 in two groups
+    made += [(8, "b c d"), (8, "B c d"), (None, None), (None, ""), (5, " ")]
+    kept = jaccard.drop_near_duplicates(frame(spark, made))
+    want = [(None, min(base, near)), (5, other), (5, third), (8, "B c d"), (None, None), (None, ""), (5, " ")]
+    assert kept.columns == frame(spark).columns
+    assert rows(kept, "doc_id", "text") == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("size", [10, 60, 300])
 def test_no_link_is_lost_at_the_threshold(spark, size):
     """Sets at, just over and just under 3/4, of sizes in several bands."""

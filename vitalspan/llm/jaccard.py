@@ -18,8 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalspan.llm.bytewords import SPACED, ByteWords, mix, slices, text_buffer
 from vitalspan.llm.links import components
@@ -317,8 +318,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     share a doc_id stay rows, and a NULL doc_id is only a component's name if the component
     has no other. Further columns are not read; no rows give none.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows, named = _grouped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    made = rows.join(named.select("c", "component_id"), "c", "left")
+    one = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return made.select("doc_id", F.col("n").alias("n_shingles"), one.alias("component_id"))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, c, n) of every row, and of every class with words its smallest doc_id (first),
+    its component and the smallest doc_id of that (component_id)."""
     rows = cut_lineage(docs.mapInArrow(_stats, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, c long, n long"))
     classes = cut_lineage(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")))
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -365,10 +373,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("c", "component_id")
-    made = rows.join(named, "c", "left")
-    one = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return made.select("doc_id", F.col("n").alias("n_shingles"), one.alias("component_id"))
+    return rows, named.join(least, "component").select("c", "first", "component", "component_id")
 
 
 def _sizes(n: str, m: str):
@@ -379,22 +384,37 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class of every row with words, and the row; NULL for rows without words."""
+    words = ByteWords(SPACED)
+    for batch in slices(batches, "text"):
+        names = [_class(s) if len(s) else None for s in shingle_sets(batch, words)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.to_struct_array()], names=["c", "row"])
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of every group of linked rows; the same columns.
+    """``docs`` with one row of every group of linked rows; the same columns.
 
-    Of repeated rows that are the one to stay, one stays, the smallest in text. Rows without
-    words stay, as do rows whose doc_id also stands for a row of another group.
+    That is the row smallest in doc_id (NULL last), then in text (NULL last), then in the other
+    columns that can be ordered. Rows belong to a group by their text, so those with a NULL
+    doc_id and those whose doc_id also stands in another group go or stay like any other. Rows
+    without words stay.
     """
-    found = cut_lineage(near_duplicates(docs))
-    by_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.max("n_shingles").alias("size")
-    )
-    by_id = by_id.where("lo = hi AND size > 0")
-    kept = docs.join(by_id.where("doc_id <> lo").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    twice = by_id.where("doc_id = lo AND n > 1").select("doc_id")
-    if not twice.take(1):
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    number = "_" * (1 + max(map(len, docs.columns)))
-    one = kept.join(twice, "doc_id", "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    _, named = _grouped(docs.select("doc_id", "text"))
+    best = cut_lineage(named.where("first <=> component_id").select("c", "component"))
+    several = best.groupBy("component").agg(F.count("*").alias("ties")).where("ties > 1")
+    best = cut_lineage(best.join(several, "component", "left"))
+
+    # One row of each class, chosen within tasks before anything is shuffled.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    classed = docs.where(text.rlike(r"[^\x20\x09-\x0D]")).mapInArrow(_classed, T.StructType([T.StructField("c", T.LongType()), T.StructField("row", docs.schema)]))
+    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    order = F.struct(*(f(F.col("row")[c]) for c in ("doc_id", "text", *others) for f in (F.isnull, lambda x: x)))
+    row = F.min_by("row", order).alias("row")
+    one = classed.groupBy("c").agg(row)
+    kept = one.join(best.where("ties IS NULL").select("c"), "c", "left_semi").select("row.*")
+    # Where classes of a group share its smallest doc_id, their rows are compared.
+    tied = best.where("ties IS NOT NULL").select("c", "component")
+    if tied.take(1):
+        kept = kept.union(one.join(tied, "c").groupBy("component").agg(row).select("row.*"))
+    return kept.union(docs.where(~text.rlike(r"[^\x20\x09-\x0D]")))
