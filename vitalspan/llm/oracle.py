@@ -100,4 +100,67 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), t AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL
+        ), kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+        size_of AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // (total + 5 * v)::HUGEINT AS q FROM kept JOIN size_of USING (lang)),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        cells AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+            FROM groups g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), p AS (
+            SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // (cells.total + 5 * v)::HUGEINT AS p FROM cells JOIN size_of USING (lang)
+        ), far AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), items AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT lang, source, part, item, value::BIGINT AS value,
+                   row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM items
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+    "op12_conversations": r"""
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place,
+                   {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (SELECT c, list(said ORDER BY place) AS turns FROM t GROUP BY c),
+        opening AS (
+            SELECT c, turns, xor(list_reduce(
+                       list_transform(range(1, 8 * length(c::VARCHAR) + 1), lambda i: CASE WHEN i % 8 = 1 THEN ascii(substr(c::VARCHAR, (i + 7) // 8, 1)) ELSE 0 END),
+                       lambda r, x: CASE WHEN xor(r, x) % 2 = 1 THEN xor(xor(r, x) // 2, 3988292384) ELSE xor(r, x) // 2 END, 4294967295), 4294967295) % 6 AS h
+            FROM own
+        ), made AS (
+            SELECT o.c, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+            FROM opening o LEFT JOIN own b ON b.c = o.c - o.c % 100
+        ), reach AS (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS depth FROM made),
+        nodes AS (
+            SELECT turns[1:depth] AS path, depth, min(c) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(turns) = depth), '')) AS ends_sha256
+            FROM reach GROUP BY ALL
+        ), children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        held AS (
+            SELECT path, depth, n IS NULL AS leaf, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].text) END AS saved
+            FROM nodes LEFT JOIN children USING (path)
+        ), under AS (
+            SELECT path[1:above] AS path, sum(leaf::INT) AS n_leaves, sum(saved) AS saved_tokens
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM held) GROUP BY ALL
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+               n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN under USING (path) LEFT JOIN children k USING (path)
+        LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+    """,
 }
