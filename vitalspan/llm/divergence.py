@@ -92,14 +92,14 @@ class Block:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "shard", "source", "terms", "counts", "documents"])
 
 
-def _index(shards: int):
+def _index(shards: int, block_postings: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
         for batch in slices(batches, "text", 1 << 20):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
                 block.add((lang, source), text)
-            if len(block) >= BLOCK_POSTINGS:
+            if len(block) >= block_postings:
                 yield from block.runs(shards)
                 block = Block()
         yield from block.runs(shards)
@@ -134,53 +134,57 @@ def _merged(least: int):
     return run
 
 
-def frequencies(docs: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
+def frequencies(docs: DataFrame, least: int = MIN_DOCUMENTS, block_postings: int = BLOCK_POSTINGS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, term, source, n, total) of every term in at least ``least`` documents of its
     language: its occurrences in each source that has it, and in all of them."""
     rows = docs.where("text <> ''")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = size // SHARD_BYTES + 1
-    runs = rows.mapInArrow(_index(shards), "lang string, shard int, source string, terms binary, counts binary, documents binary")
+    shards = size // shard_bytes + 1
+    runs = rows.mapInArrow(_index(shards, block_postings), "lang string, shard int, source string, terms binary, counts binary, documents binary")
     made = runs.groupBy("lang", "shard").applyInArrow(_merged(least), "lang string, term string, source string, n long, total long")
     return cut_lineage(made)
 
 
-def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _corrections(held_pairs: int):
     """Of postings in (lang, term, source) order: for pairs of sources, over the terms both have,
     |p - q| less what the sources' histograms give for such a term."""
-    held: dict[tuple, int] = {}
-
-    def handed_on():
-        keys = list(zip(*held)) if held else [[], [], []]
-        columns = [pa.array(k, pa.string()) for k in keys]
-        out = pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.int64())], names=["lang", "a", "b", "correction"])
-        held.clear()
-        return out
-
-    for table in _whole_terms(batches):
-        lang, term, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term", "source"))
-        p, none = table.column("p").to_numpy(), table.column("none").to_numpy()
-        names, langs = source.dictionary.to_pylist(), lang.dictionary.to_pylist()
-        lang, term, source = (np.asarray(x.indices, np.int64) for x in (lang, term, source))
-        at, step = np.arange(len(p) - 1), 1
-        while len(at):
-            # Postings ``step`` places apart that belong to one term.
-            at = at[at + step < len(p)]
-            other = at + step
-            same = (term[at] == term[other]) & (lang[at] == lang[other])
-            at, other = at[same], other[same]
-            value = np.abs(p[at] - p[other]) - np.abs(p[at] - none[other]) - np.abs(p[other] - none[at]) + np.abs(none[at] - none[other])
-            key = (lang[at] * len(names) + source[at]) * len(names) + source[other]
-            keys, place = np.unique(key, return_inverse=True)
-            sums = np.zeros(len(keys), np.int64)
-            np.add.at(sums, place, value)
-            for k, v in zip(keys.tolist(), sums.tolist()):
-                pair = (langs[k // len(names) ** 2], names[k // len(names) % len(names)], names[k % len(names)])
-                held[pair] = held.get(pair, 0) + v
-            if len(held) >= HELD_PAIRS:
-                yield handed_on()
-            step += 1
-    yield handed_on()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
+
+        def handed_on():
+            keys = list(zip(*held)) if held else [[], [], []]
+            columns = [pa.array(k, pa.string()) for k in keys]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.int64())], names=["lang", "a", "b", "correction"])
+            held.clear()
+            return out
+
+        for table in _whole_terms(batches):
+            lang, term, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term", "source"))
+            p, none = table.column("p").to_numpy(), table.column("none").to_numpy()
+            names, langs = source.dictionary.to_pylist(), lang.dictionary.to_pylist()
+            lang, term, source = (np.asarray(x.indices, np.int64) for x in (lang, term, source))
+            at, step = np.arange(len(p) - 1), 1
+            while len(at):
+                # Postings ``step`` places apart that belong to one term.
+                at = at[at + step < len(p)]
+                other = at + step
+                same = (term[at] == term[other]) & (lang[at] == lang[other])
+                at, other = at[same], other[same]
+                value = np.abs(p[at] - p[other]) - np.abs(p[at] - none[other]) - np.abs(p[other] - none[at]) + np.abs(none[at] - none[other])
+                key = (lang[at] * len(names) + source[at]) * len(names) + source[other]
+                keys, place = np.unique(key, return_inverse=True)
+                sums = np.zeros(len(keys), np.int64)
+                np.add.at(sums, place, value)
+                for k, v in zip(keys.tolist(), sums.tolist()):
+                    pair = (langs[k // len(names) ** 2], names[k // len(names) % len(names)], names[k % len(names)])
+                    held[pair] = held.get(pair, 0) + v
+                if len(held) >= held_pairs:
+                    yield handed_on()
+                step += 1
+        yield handed_on()
+
+    return run
 
 
 def _whole_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -207,21 +211,28 @@ def _p(n, total, vocabulary):
     return F.expr(f"1 + (cast({SCALE} as decimal(38,0)) * ({n} + {SMOOTH})) div ({total} + {SMOOTH} * {vocabulary})")
 
 
-def audit(docs: DataFrame) -> DataFrame:
+def audit(
+    docs: DataFrame,
+    least: int = MIN_DOCUMENTS,
+    block_postings: int = BLOCK_POSTINGS,
+    shard_bytes: int = SHARD_BYTES,
+    held_pairs: int = HELD_PAIRS,
+) -> DataFrame:
     """lang, source, part, item, value and rank: how each source's use of words differs.
 
     NULL text, lang and source are empty. Terms are runs of letters a-z, A-Z lower-cased, and
-    characters beyond ASCII. A language's vocabulary are the V terms found in MIN_DOCUMENTS of
+    characters beyond ASCII. A language's vocabulary are the V terms found in ``least`` of
     its documents or more, repeated rows counting each. p is 1 + floor(SCALE * (n + SMOOTH) /
     (N + SMOOTH * V)), n and N the term's and all terms' occurrences in the source, or in the
     language for q. Part ``pair`` has every other source of the language with the sum of
     |p - q| over the vocabulary, q the other's p; part ``term`` the TOP terms of the source by
     p - q, where that is above zero. Ranks go by value descending, then item in UTF-8 order. A
     source without terms, or a language without a vocabulary, has its pairs too. Further
-    columns are not read; no rows give none.
+    columns are not read; no rows give none. The other parameters bound what a task holds and
+    do not change the result.
     """
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found = frequencies(read)
+    found = frequencies(read, least, block_postings, shard_bytes)
     kept = found.groupBy("lang", "term").agg(F.first("total").alias("total")).groupBy("lang")
     langs = kept.agg(F.count("*").alias("vocabulary"), F.sum("total").alias("lang_total"))
     sources = found.groupBy("lang", "source").agg(F.sum("n").alias("source_total"), F.count("*").alias("present"))
@@ -240,7 +251,7 @@ def audit(docs: DataFrame) -> DataFrame:
     over = over.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TOP)
 
     streamed = rows.select("lang", "term", "source", "p", "none").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    both = streamed.mapInArrow(_corrections, "lang string, a string, b string, correction long").groupBy("lang", "a", "b").agg(F.sum("correction").alias("correction"))
+    both = streamed.mapInArrow(_corrections(held_pairs), "lang string, a string, b string, correction long").groupBy("lang", "a", "b").agg(F.sum("correction").alias("correction"))
 
     # The sum of |p - x| over a source's terms, x being the other's p for a term it lacks, from
     # running sums over the source's histogram, into which the values of x are laid.

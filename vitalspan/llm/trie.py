@@ -162,16 +162,26 @@ def _names(start: bytes, turns: list[bytes], first: int) -> list[bytes]:
     return [flat[k : k + 16] for k in range(0, len(flat), 16)]
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each stretch adds to the names after it, in four parts of 32 bits."""
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(batch.column("stretch").to_pylist(), batch.column("turns").to_pylist())
-        ends = [np.frombuffer(_names(_ROOT, t, s * STRETCH + 1)[-1], "<u4").astype(np.int64) for s, t in rows]
-        parts = np.array(ends, np.int64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("conv_id"), batch.column("stretch"), *(pa.array(parts[:, k]) for k in range(4))],
-            names=["conv_id", "stretch", "s0", "s1", "s2", "s3"],
-        )
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _sums(stretch: int):
+    """What each stretch adds to the names after it, in four parts of 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            rows = zip(batch.column("stretch").to_pylist(), batch.column("turns").to_pylist())
+            ends = [np.frombuffer(_names(_ROOT, t, s * stretch + 1)[-1], "<u4").astype(np.int64) for s, t in rows]
+            parts = np.array(ends, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), batch.column("stretch"), *(pa.array(parts[:, k]) for k in range(4))],
+                names=["conv_id", "stretch", "s0", "s1", "s2", "s3"],
+            )
+
+    return run
 
 
 _NODES = "name binary, above binary, depth long, chars long, conv_id long, n long, m long, ends boolean"
@@ -184,51 +194,59 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
 
 
-def _insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _insert(stretch: int, depths: int):
     """The nodes of tries of a task's stretches; and, where ``final``, which of them it ends at."""
-    trie, ends = ZFastTrie(), []
-
-    def handed_on() -> Iterator[tuple]:
-        for name, above, depth, chars, least, weight in trie.expanded():
-            yield name, above, depth, chars, least, *weight, False
-        for name, conv in ends:
-            yield name, None, None, None, conv, None, None, True
 
-    for batch in batches:
-        parts = np.stack([batch.column(f"s{k}").to_numpy() for k in range(4)], axis=1).astype(np.uint64)
-        # Four sums of 32-bit parts are two sums of 64-bit words.
-        starts = (parts[:, ::2] + (parts[:, 1::2] << np.uint64(32))).astype("<u8")
-        columns = [batch.column(c).to_pylist() for c in ("conv_id", "stretch", "turns", "chars", "n", "m", "final")]
-        for start, conv, stretch, turns, chars, n, m, final in zip(starts, *columns):
-            path = _names(start.tobytes(), turns, stretch * STRETCH + 1)
-            trie.insert(path, chars, stretch * STRETCH, conv, [n, m])
-            if final:
-                ends.append((path[-1], conv))
-            if trie.depths + len(trie.low) + len(ends) > TRIE_DEPTHS:
-                yield from _batches(handed_on())
-                trie, ends = ZFastTrie(), []
-    yield from _batches(handed_on())
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of at most PIECE_IDS ids of one node, comma-joined; rows come in (name, id) order."""
-    name, ids = None, []
-
-    def done():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([name], pa.binary()), pa.array([ids[0]], pa.int64()), pa.array([",".join(map(str, ids))])],
-            names=["name", "conv_id", "ids"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, ends = ZFastTrie(), []
+
+        def handed_on() -> Iterator[tuple]:
+            for name, above, depth, chars, least, weight in trie.expanded():
+                yield name, above, depth, chars, least, *weight, False
+            for name, conv in ends:
+                yield name, None, None, None, conv, None, None, True
+
+        for batch in _parts(batches):
+            parts = np.stack([batch.column(f"s{k}").to_numpy() for k in range(4)], axis=1).astype(np.uint64)
+            # Four sums of 32-bit parts are two sums of 64-bit words.
+            starts = (parts[:, ::2] + (parts[:, 1::2] << np.uint64(32))).astype("<u8")
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "stretch", "turns", "chars", "n", "m", "final")]
+            for start, conv, number, turns, chars, n, m, final in zip(starts, *columns):
+                path = _names(start.tobytes(), turns, number * stretch + 1)
+                trie.insert(path, chars, number * stretch, conv, [n, m])
+                if final:
+                    ends.append((path[-1], conv))
+                if trie.depths + len(trie.low) + len(ends) > depths:
+                    yield from _batches(handed_on())
+                    trie, ends = ZFastTrie(), []
+        yield from _batches(handed_on())
+
+    return run
+
+
+def _joined(most: int):
+    """Runs of at most ``most`` ids of one node, comma-joined; rows come in (name, id) order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids = None, []
+
+        def done():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.binary()), pa.array([ids[0]], pa.int64()), pa.array([",".join(map(str, ids))])],
+                names=["name", "conv_id", "ids"],
+            )
+
+        for batch in batches:
+            for key, conv in zip(batch.column("name").to_pylist(), batch.column("conv_id").to_pylist()):
+                if ids and (key != name or len(ids) == most):
+                    yield done()
+                    ids = []
+                name = key
+                ids.append(conv)
+        if ids:
+            yield done()
 
-    for batch in batches:
-        for key, conv in zip(batch.column("name").to_pylist(), batch.column("conv_id").to_pylist()):
-            if ids and (key != name or len(ids) == PIECE_IDS):
-                yield done()
-                ids = []
-            name = key
-            ids.append(conv)
-    if ids:
-        yield done()
+    return run
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,14 +313,14 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     return first.union(own)
 
 
-def stretches(turns: DataFrame) -> DataFrame:
-    """Runs of at most STRETCH turns: conv_id, stretch, turns and chars (arrays), start (the name
+def stretches(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Runs of at most ``stretch`` turns: conv_id, stretch, turns and chars (arrays), start (the name
     of all turns before) and whether it is the conversation's last (final)."""
-    cut = F.coalesce(F.floor((F.col("place") - 1) / STRETCH), F.lit(0)).alias("stretch")
+    cut = F.coalesce(F.floor((F.col("place") - 1) / stretch), F.lit(0)).alias("stretch")
     filled = F.when(F.col("place").isNotNull(), F.struct("place", "turn", "chars"))
     runs = turns.groupBy("conv_id", cut).agg(F.array_sort(F.collect_list(filled)).alias("t"))
     runs = cut_lineage(runs.select("conv_id", "stretch", F.col("t.turn").alias("turns"), F.col("t.chars").alias("chars")))
-    sums = runs.mapInArrow(_sums, "conv_id long, stretch long, s0 long, s1 long, s2 long, s3 long")
+    sums = runs.mapInArrow(_sums(stretch), "conv_id long, stretch long, s0 long, s1 long, s2 long, s3 long")
     order = Window.partitionBy("conv_id").orderBy("stretch")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     ahead = [F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"s{k}") for k in range(4)]
@@ -310,12 +328,12 @@ def stretches(turns: DataFrame) -> DataFrame:
     return runs.join(starts, ["conv_id", "stretch"])
 
 
-def _inserted(runs: DataFrame) -> DataFrame:
+def _inserted(runs: DataFrame, stretch: int, depths: int) -> DataFrame:
     wanted = ("conv_id", "stretch", "turns", "chars", "s0", "s1", "s2", "s3", "n", "m", "final")
-    return runs.select(*wanted).mapInArrow(_insert, _NODES)
+    return runs.select(*wanted).mapInArrow(_insert(stretch, depths), _NODES)
 
 
-def prefix_nodes(conversations: DataFrame) -> DataFrame:
+def prefix_nodes(conversations: DataFrame, stretch: int = STRETCH, depths: int = TRIE_DEPTHS, piece_ids: int = PIECE_IDS) -> DataFrame:
     """One row for each distinct sequence of first turns of the rebuilt conversations.
 
     conv_id is the smallest member, members being the conversations that begin with the
@@ -326,10 +344,11 @@ def prefix_nodes(conversations: DataFrame) -> DataFrame:
     SHA-256 of the members that have no further turn, in decimal, ascending, comma-joined.
 
     NULL roles and texts are empty, so are texts of repeated rows their own turns; rows of a
-    NULL conv_id are left out; further columns are not read. No rows give no node.
+    NULL conv_id are left out; further columns are not read. No rows give no node. ``stretch``, ``depths`` and
+    ``piece_ids`` bound what a task holds and do not change the result.
     """
-    runs = cut_lineage(stretches(rebuilt(cut_lineage(ordered_turns(conversations)))))
-    made = cut_lineage(_inserted(runs.withColumns({"n": F.lit(1).cast("long"), "m": F.lit(0).cast("long")})))
+    runs = cut_lineage(stretches(rebuilt(cut_lineage(ordered_turns(conversations))), stretch))
+    made = cut_lineage(_inserted(runs.withColumns({"n": F.lit(1).cast("long"), "m": F.lit(0).cast("long")}), stretch, depths))
     nodes = made.where("NOT ends").groupBy("name").agg(
         *(F.first(c).alias(c) for c in ("above", "depth", "chars")), F.min("conv_id").alias("conv_id"), F.sum("n").alias("n_convs")
     )
@@ -345,15 +364,15 @@ def prefix_nodes(conversations: DataFrame) -> DataFrame:
     own = along.select("name", (F.col("leaf") + F.col("leaf_before")).alias("n"), (F.col("saved") + F.col("saved_before")).alias("m"))
     chains = nodes.groupBy("conv_id").agg(F.min("depth").alias("top"), F.sum("leaf").alias("n"), F.sum("saved").alias("m"))
     chains = chains.where("top > 0 AND (n > 0 OR m > 0)")
-    reach = F.least(F.lit(STRETCH).cast("long"), F.col("top") - 1 - F.col("stretch") * STRETCH).cast("int")
+    reach = F.least(F.lit(stretch).cast("long"), F.col("top") - 1 - F.col("stretch") * stretch).cast("int")
     upper = runs.drop("final").join(chains, "conv_id").withColumn("reach", reach)
     upper = upper.where("reach > 0 OR (reach = 0 AND stretch = 0)")
     upper = upper.withColumns({c: F.slice(c, F.lit(1), F.col("reach")) for c in ("turns", "chars")}).withColumn("final", F.lit(False))
-    held = own.union(_inserted(upper).select("name", "n", "m")).groupBy("name").agg(F.sum("n").alias("n_leaves"), F.sum("m").alias("saved_tokens"))
+    held = own.union(_inserted(upper, stretch, depths).select("name", "n", "m")).groupBy("name").agg(F.sum("n").alias("n_leaves"), F.sum("m").alias("saved_tokens"))
 
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = made.where("ends").select("name", "conv_id").repartitionByRange(parts, "name", "conv_id").sortWithinPartitions("name", "conv_id")
-    ends = ends.mapInArrow(_joined, "name binary, conv_id long, ids string")
+    ends = ends.mapInArrow(_joined(piece_ids), "name binary, conv_id long, ids string")
     ends = ends.repartition("name").sortWithinPartitions("name", "conv_id").mapInArrow(_digested, "name binary, sha string")
 
     above = nodes.select(F.col("name").alias("above"), F.col("conv_id").alias("parent_conv_id"))
