@@ -14,6 +14,7 @@ are cut at such borders into words, which are looked up among those met before.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from vitalspan.llm.bytewords import slices
 
 SPACE = "▁"
 #: Words kept with their ids, and pairs of tokens kept with their verdicts, in a worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 500_000
 #: Longer runs without a border are encoded each time.
 LONGEST_WORD = 48
@@ -40,7 +41,8 @@ class Pieces:
         from sentencepiece import SentencePieceProcessor
 
         self.library = sp = SentencePieceProcessor(model_file=model_file)
-        every = range(sp.piece_size())
+        self.size = sp.piece_size()
+        every = range(self.size)
         if any(sp.is_unused(i) for i in every):
             raise ValueError(f"{model_file}: models with unused pieces are not supported")
         plain = [i for i in every if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
@@ -66,6 +68,7 @@ class Pieces:
         self.words = re.compile(f"{word}|.", re.DOTALL)
         self.alphabet = alphabet
         self.cache: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         for probe in (" ".join(self.text[i] for i in plain[k::97]).replace(SPACE, " ") for k in range(0, 97, 16)):
             if self.encode(probe).tolist() != sp.encode(probe):
@@ -111,20 +114,20 @@ class Pieces:
                 j += 1
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        self.pairs[left << 32 | right] = good
+        self.pairs[left * self.size + right] = good
         return good
 
     def _table(self, run: str) -> list[int]:
         """The ids of a run of known characters, by the last token of each of its prefixes."""
         last, size = [None] * len(run), [0] * len(run)
-        pairs = self.pairs
+        pairs, count = self.pairs, self.size
         for end, (token, length) in self.automaton.iter(run):
             if last[end] is None:
                 if length <= end:
                     before = last[end - length]
                     if before is None:
                         continue
-                    fits = pairs.get(before << 32 | token)
+                    fits = pairs.get(before * count + token)
                     if not (self.compatible(before, token) if fits is None else fits):
                         continue
                 last[end], size[end] = token, length
@@ -138,20 +141,29 @@ class Pieces:
     def _word(self, word: str) -> bytes:
         if word[0] not in self.alphabet:
             ids = [self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]
-        else:
-            ids, at = [], 0
-            for k in range(1, len(word)):
-                if word[k - 1 : k + 1] not in self.beside:
-                    ids += self._table(word[at:k])
-                    at = k
-            ids += self._table(word[at:])
-        return np.array(ids, "<i4").tobytes()
+            return array("i", ids).tobytes()
+        out, at, beside = [], 0, self.beside
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in beside:
+                out.append(self._run(word[at:k]))
+                at = k
+        out.append(self._run(word[at:]))
+        return b"".join(out)
+
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = array("i", self._table(run)).tobytes()
+            if len(run) <= LONGEST_WORD:
+                if len(self.runs) >= CACHE_WORDS:
+                    self.runs.clear()
+                self.runs[run] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, those of the library's ``encode``."""
         out, cache = [], self.cache
-        for found in self.words.finditer(self.library.normalize(text)):
-            word = found[0]
+        for word in self.words.findall(self.library.normalize(text)):
             ids = cache.get(word)
             if ids is None:
                 ids = self._word(word)
