@@ -29,7 +29,7 @@ from vitalspan.session import cut_lineage
 WORDS = 5
 #: Up to this size every element is a cell of its own.
 SMALL = 48
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 500_000
 #: Classes of one key that meet in one piece; a key of more makes several pieces.
 PIECE = 4_096
 #: Classes whose names may be broadcast (8 bytes each); more go through a shuffle join.
@@ -121,17 +121,16 @@ def _packed(bucket: np.ndarray, owner: np.ndarray, heads: np.ndarray, *values: n
 def _sketches(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ByteWords(SPACED)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             heads, keys, seen = [], [], set()
-            for part in slices(iter([batch]), "text"):
-                for s in shingle_sets(part, words):
-                    name = _class(s)
-                    if name in seen:
-                        continue
-                    seen.add(name)
-                    for band, found in sketch(s):
-                        heads.append((name, len(s), len(found), 0, band))
-                        keys.append(found)
+            for s in shingle_sets(batch, words):
+                name = _class(s)
+                if name in seen:
+                    continue
+                seen.add(name)
+                for band, found in sketch(s):
+                    heads.append((name, len(s), len(found), 0, band))
+                    keys.append(found)
             if not keys:
                 continue
             heads = np.array(heads, _HEAD)
@@ -400,21 +399,35 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id and those whose doc_id also stands in another group go or stay like any other. Rows
     without words stay.
     """
-    _, named = _grouped(docs.select("doc_id", "text"))
-    best = cut_lineage(named.where("first <=> component_id").select("c", "component"))
-    several = best.groupBy("component").agg(F.count("*").alias("ties")).where("ties > 1")
-    best = cut_lineage(best.join(several, "component", "left"))
-
-    # One row of each class, chosen within tasks before anything is shuffled.
-    text = F.coalesce(F.col("text"), F.lit(""))
-    classed = docs.where(text.rlike(r"[^\x20\x09-\x0D]")).mapInArrow(_classed, T.StructType([T.StructField("c", T.LongType()), T.StructField("row", docs.schema)]))
-    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
-    order = F.struct(*(f(F.col("row")[c]) for c in ("doc_id", "text", *others) for f in (F.isnull, lambda x: x)))
-    row = F.min_by("row", order).alias("row")
-    one = classed.groupBy("c").agg(row)
-    kept = one.join(best.where("ties IS NULL").select("c"), "c", "left_semi").select("row.*")
-    # Where classes of a group share its smallest doc_id, their rows are compared.
-    tied = best.where("ties IS NOT NULL").select("c", "component")
-    if tied.take(1):
-        kept = kept.union(one.join(tied, "c").groupBy("component").agg(row).select("row.*"))
-    return kept.union(docs.where(~text.rlike(r"[^\x20\x09-\x0D]")))
+    rows, named = _grouped(docs.select("doc_id", "text"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # A doc_id that one row has names that row: it stays where it is its group's smallest.
+    single = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("uses")).where("uses = 1")
+    groups = cut_lineage(named.select("component", "component_id").distinct().join(single, F.col("component_id") == F.col("doc_id"), "left"))
+    kept = docs.where(worded).join(groups.where("uses = 1").select("doc_id"), "doc_id", "left_semi")
+
+    # Of the other groups the rows with their smallest doc_id are compared.
+    rest = groups.where("uses IS NULL").select("component")
+    if rest.take(1):
+        rest = named.join(rest, "component", "left_semi").where("first <=> component_id").select("c", "component", "component_id")
+        ids = rest.select(F.col("component_id").alias("doc_id")).distinct()
+        some = docs.where(worded).join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        kept = kept.select(docs.columns).union(_least_rows(some, rest))
+    return kept.select(docs.columns).union(docs.where(~worded))
+
+
+def _least_rows(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each component of ``classes`` (c, component) the least row of ``docs``."""
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("row", docs.schema)])
+    classed = docs.mapInArrow(_classed, schema)
+    plain = [f.name for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    names = ["doc_id", "text", *(c for c in plain if c not in ("doc_id", "text"))]
+    order = F.struct(*(x for c in names for x in (F.col("row")[c].isNull(), F.col("row")[c].alias(c))))
+    if len(plain) == len(docs.columns):
+        # The order has all of the row.
+        least, back = F.min(order).alias("least"), [F.col("least")[c].alias(c) for c in docs.columns]
+    else:
+        least, back = F.min_by("row", order).alias("least"), ["least.*"]
+    one = classed.groupBy("c").agg(least).join(classes, "c")
+    order = F.col("least") if len(plain) == len(docs.columns) else F.struct(*(x for c in names for x in (F.col("least")[c].isNull(), F.col("least")[c])))
+    return one.groupBy("component").agg(F.min_by("least", order).alias("least")).select(*back)
