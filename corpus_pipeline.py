@@ -6,7 +6,7 @@ next one gets as ``docs``. All but the last keep the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.llm import decontam, jaccard, mixing, tokens, toxicity
@@ -36,12 +36,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order that mixing has drawn, read back.
 
-    Copies of a document are the same row, so numbering them in any order gives each place in
-    the global order the same row.
+    Copies of a document are the same row, so they are counted and numbered again, and each
+    place in the global order gets the same row.
     """
-    number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")).cast("string")
-    key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), number))
-    numbered = docs.select("doc_id", "text", key.alias("shuffle_key"))
+    same = docs.groupBy("doc_id", F.md5("text").alias("digest")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    copies = same.select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number"))
+    key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("number").cast("string")))
+    numbered = copies.select("doc_id", "text", key.alias("shuffle_key"))
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(numbered, path, tokenizer_file(), order=["shuffle_key"])
     return tokens.read_tokens(spark, path, with_ids=False)
