@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog import adapters as a
-from vitalspan.ml import cv, evaluate, models, prep, sampling
+from vitalspan.ml import cv, evaluate, models, prep, sampling, shared
 from vitalspan.ml.calibrate import calibrate
-from vitalspan.ml.specs import CATEGORICAL, FULL_NUMERIC, GRID_COSTS, GRID_WEIGHTS, ModelSpec
+from vitalspan.ml.specs import (
+    CATEGORICAL,
+    FULL_NUMERIC,
+    GRID_COSTS,
+    GRID_SPEC,
+    GRID_WEIGHTS,
+    LOGIT_MODELS,
+    MARGIN_MODELS,
+    UNDERSAMPLED_MODELS,
+    ModelSpec,
+)
 from vitalspan.operators import tenants
 from vitalspan.plans import training
-from vitalspan.session import scratch_path
+from vitalspan.session import cut_lineage, scratch_path
 from vitalspan.sources import tables, tenant_files
 
 NUMBERS = ("n_chars", "n_words", "n_lines")
@@ -48,6 +58,15 @@ def onehot_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kbest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best features of each fold's training rows, from one pass over all rows."""
+    encoded = shared.encode_once(a.labelled_documents(spark, sf_dir), NUMBERS, KINDS, folds=10)
+    best = shared.best_per_fold(shared.left_out(shared.cells(encoded), encoded.folds), 10)
+    names = F.array(*[F.lit(encoded.shown(k)) for k in range(len(encoded.names))])
+    return best.select(F.col("without").alias("fold"), F.get(names, F.col("feature")).alias("feature"))
+
+
+def kbest_fit_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that a cross-validated model's own selection has chosen."""
     spec = ModelSpec(NUMBERS, KINDS, kind="lbfgs", select=10, folds=3)
     result = cv.cross_validate(a.labelled_documents(spark, sf_dir), spec, 1.0)
     return cv.selected_features(result, spec, spark)
@@ -173,6 +192,47 @@ def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.labelled_rows(build_full_training(spark, sf_dir), FULL_NUMERIC + CATEGORICAL, outside=GAP)
 
 
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training set's labelled rows with a key, the date and a numeric label."""
+    from catalog.queries import build_full_training
+
+    rows = training.labelled_rows(build_full_training(spark, sf_dir), FULL_NUMERIC + CATEGORICAL)
+    keyed = shared.identified(rows).withColumn("label", F.col("hs_did_change").cast("double"))
+    return cut_lineage(keyed.drop("hs_did_change"))
+
+
+def row_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the labelled rows, and what a unique key has to satisfy."""
+    keyed = model_rows(spark, sf_dir)
+    return keyed.groupBy("label").agg(F.count(F.lit(1)).alias("labelled"), F.countDistinct("row_id").alias("keys"))
+
+
+def logit_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every logistic model and cost on the training set, with and without the spell."""
+    return shared.sweep_logistic(model_rows(spark, sf_dir), LOGIT_MODELS)
+
+
+def margin_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cv.sweep(model_rows(spark, sf_dir), MARGIN_MODELS, components=64, maxIter=15)
+
+
+def undersampled_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cv.sweep(model_rows(spark, sf_dir), UNDERSAMPLED_MODELS, sampler=sampling.edited_nearest_neighbours(), components=64, maxIter=15)
+
+
+def training_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cv.grid_search(model_rows(spark, sf_dir), GRID_SPEC, GRID_COSTS, GRID_WEIGHTS, components=64, maxIter=15)
+
+
+def margin_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of the margin classifier's held-out scores before and after calibration."""
+    rows = a.labelled_documents(spark, sf_dir)
+    stored = cv.held_out(rows, ModelSpec(NUMBERS, KINDS, folds=5), 0.2, components=64, maxIter=15)
+    before = evaluate.reliability_curve(stored, normalize=True).withColumn("curve", F.lit("before"))
+    after = shared.calibrated_scores(stored, ["fold"]).drop("score").withColumnRenamed("probability_1", "score")
+    return before.unionByName(evaluate.reliability_curve(after).withColumn("curve", F.lit("after")))
+
+
 def tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = a.tenant_directory(spark, sf_dir)
     done = directory.where(F.col("number") % 7 == 0).select(F.col("db").alias("client"))
@@ -201,6 +261,13 @@ MODELLING = {
     "collinear_pairs": collinear,
     "anova_f": anova,
     "kbest_features": kbest_features,
+    "kbest_fit_features": kbest_fit_features,
+    "row_identity": row_identity,
+    "logit_models": logit_models,
+    "margin_models": margin_models,
+    "undersampled_models": undersampled_models,
+    "training_grid": training_grid,
+    "margin_calibration": margin_calibration,
     "weighted_logit_cv": logit_folds,
     "model_sweep": model_sweep,
     "grid_search": grid,

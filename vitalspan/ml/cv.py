@@ -118,6 +118,13 @@ def cross_validate(
     return CrossValidation(folds, [models[(0, fold)] for fold in range(spec.folds)])
 
 
+def held_out(rows: DataFrame, spec: ModelSpec, cost: float, key: str = "row_id", seed: int = 19, parallelism: int = 8, **options) -> DataFrame:
+    """(fold, label, score, prediction) of every row by the model that has not seen it, stored."""
+    folded = cut_lineage(stratified_folds(rows, key, k=spec.folds, seed=seed))
+    scored, _ = _score_candidates(folded, [(spec, cost)], None, parallelism, options)
+    return scored.drop("candidate")
+
+
 def selected_features(result: CrossValidation, spec: ModelSpec, spark) -> DataFrame:
     """(fold, feature) chosen by each fold's selection."""
     rows = [(i, name) for i, model in enumerate(result.models) for name in feature_names(model, spec)]
