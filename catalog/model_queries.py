@@ -251,10 +251,54 @@ def tenant_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.join(sums, "client", "left")
 
 
+def tenant_gather_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two extracts whose files have other columns in another order, stacked by name."""
+    events = a.tenant_events(spark, sf_dir)
+    first, second = scratch_path(spark, "extract"), scratch_path(spark, "extract")
+    tenant_files.write_tenant_csv(events.where("event_id % 2 = 0").select("client", "event_id", "user_id", "event_type", "k"), first)
+    tenant_files.write_tenant_csv(events.where("event_id % 2 = 1").select("k", "event_id", "client", F.lit("x").alias("more"), "user_id"), second)
+    schema = T.StructType.fromDDL("event_id bigint, user_id bigint, event_type string, k int")
+    rows = tenant_files.combine_csv(spark, [first, second], [schema, schema])
+    sums = [F.sum("k").alias("k_total"), F.countDistinct("user_id").alias("users"), F.sum("event_id").alias("ids"), F.count("event_type").alias("typed")]
+    return rows.groupBy("client").agg(*sums)
+
+
+def tenant_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run in which one batch of tenants fails, resumed by a second run."""
+    path = scratch_path(spark, "runs")
+    events = a.tenant_events(spark, sf_dir).select("client", "event_id", "user_id", "event_type", "k")
+    clients = a.tenant_tables(spark, sf_dir).clients
+    lost = clients.agg(F.min("client")).first()[0]
+
+    def extract(some: DataFrame, failing: bool) -> DataFrame:
+        if failing and some.where(F.col("client") == lost).take(1):
+            raise ConnectionError("no answer")
+        return events.join(some, "client", "left_semi")
+
+    tenant_files.run_tenants(clients, lambda some: extract(some, True), path, batches=4)
+    tenant_files.run_tenants(clients, lambda some: extract(some, False), path, batches=4)
+    schema = T.StructType.fromDDL("event_id bigint, user_id bigint, event_type string, k int")
+    rows = tenant_files.read_committed(spark, path, schema)
+    ledger = tenant_files.read_ledger(spark, path).where("failure IS NULL").select("client", "row_count")
+    sums = rows.groupBy("client").agg(F.sum("k").alias("k_total"), F.countDistinct("user_id").alias("users"))
+    return ledger.join(sums, "client", "left")
+
+
+def replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made of order lines, then replaced with a part of itself."""
+    name = "lines_" + scratch_path(spark, "t").rsplit("-", 1)[1]
+    tables.materialize(a.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), name)
+    kept = tables.materialize(spark.table(name).where("l_quantity > 10"), name)
+    return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
 MODELLING = {
     "labelled_rows": labelled_rows,
     "tenant_filter": tenant_filter,
     "tenant_gather": tenant_gather,
+    "tenant_gather_runs": tenant_gather_runs,
+    "tenant_resume": tenant_resume,
+    "replaced_table": replaced_table,
     "scale_features": scaled_features,
     "onehot_features": onehot_features,
     "corr_matrix": correlation_matrix,

@@ -94,3 +94,24 @@ def test_random_chains_equal_the_recursive_query(spark):
     assert rows(found.withColumn("s", found["earliest_start"].cast("string")), "account_number", "account_name", "s") == sorted(
         want, key=str
     )
+
+
+def test_many_starts_take_windows_or_one_walk_and_no_arrays(spark):
+    """Nine thousand starts an account; one account has one name, the other two."""
+    from datetime import timedelta
+
+    made = []
+    for account, names in (("one", ["a"]), ("two", ["a", "b"])):
+        for i in range(9_000):
+            start = day("1990-01-01") + timedelta(days=i)
+            made.append((account, names[i % len(names)], start, start + timedelta(days=1)))
+    made.append(("one", "a", day("2019-01-01"), None))
+    made.append(("two", "b", day("2014-10-01"), None))
+    df = spark.createDataFrame(made, "account_number string, account_name string, start_date date, end_date date")
+    df = df.selectExpr("*", "'DnA' AS product_group", "'DnA Rate' AS product_name")
+    found = earliest_starts(df, "2020-01-15")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "array_append" not in plan
+    got = {tuple(r)[:2]: r["earliest_start"] for r in found.collect()}
+    # The last short one of "one" ended more than ninety days before; those of "two" did not.
+    assert got == {("one", "a"): day("2019-01-01"), ("two", "a"): day("1990-01-01"), ("two", "b"): day("1990-01-02")}

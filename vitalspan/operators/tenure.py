@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.operators.calendar import as_day, month_series
@@ -28,10 +31,12 @@ def earliest_starts(subscriptions: DataFrame, as_of, years_back: int = 5, gap_da
     calendar month-end. From a reached start it goes on to every older subscription of the
     account, under any name, that ended no more than ``gap_days`` before it.
 
-    Subscriptions shrink map-side to one row per (account, name, start). The walk needs
-    one element per (account, start date): the latest end and whether a seed starts there,
-    so its array is bounded by the days a calendar has, not by an account's rows. It yields
-    the dates reached; a name is reached where its own end meets the nearest later one.
+    Subscriptions shrink map-side to one row per (account, name, start). A chain that comes
+    down to a start goes on unless all older subscriptions ended more than ``gap_days`` before
+    it, which a running maximum of ends tells; so an account of one name is dated by windows
+    alone. Accounts of several names, where a name is reached only if its own end meets the
+    nearest later date reached, are walked once from the latest start down. A NULL account has
+    no other subscriptions, so its seeds stand.
     """
     this_month = F.trunc(as_day(as_of), "MM")
     first_end = F.last_day(F.add_months(this_month, -12 * years_back))
@@ -63,42 +68,56 @@ def earliest_starts(subscriptions: DataFrame, as_of, years_back: int = 5, gap_da
         .groupBy("account_number", "start_date")
         .agg(F.max("last_end").alias("last_end"), F.max("seed").alias("seed"))
     )
-    walk = (
-        dates.groupBy("account_number")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("start_date", "last_end", "seed")), asc=False).alias("steps"),
-            F.max("seed").alias("seeded"),
-        )
-        .where("seeded")
+    names = starts.groupBy("account_number").agg(
+        (F.count_distinct("account_name") + F.max(F.col("account_name").isNull().cast("int")) > 1).alias("several")
     )
-
-    def step(state, item):
-        met = item["last_end"] >= F.date_sub(state["low"], gap_days)
-        hit = F.coalesce(item["seed"] | met, F.lit(False))
-        seen = F.struct(item["start_date"].alias("start_date"), state["low"].alias("low"))
-        return F.struct(
-            F.when(hit, item["start_date"]).otherwise(state["low"]).alias("low"),
-            F.array_append(state["seen"], seen).alias("seen"),
-        )
-
-    empty = F.struct(
-        F.lit(None).cast("date").alias("low"),
-        F.array().cast("array<struct<start_date:date,low:date>>").alias("seen"),
-    )
-    nearest = walk.select(
-        "account_number", F.explode(F.aggregate("steps", empty, step, lambda s: s["seen"])).alias("seen")
-    ).select("account_number", "seen.start_date", "seen.low")
-
+    dates = dates.where("account_number IS NOT NULL").join(names, "account_number")
+
+    order = Window.partitionBy("account_number").orderBy("start_date")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    older_end = F.max("last_end").over(before)
+    opens = older_end.isNull() | (older_end < F.date_sub("start_date", gap_days))
+    chained = dates.where("NOT several").withColumn("opens", F.when(opens, F.col("start_date")))
+    chained = chained.withColumn("earliest_start", F.max("opens").over(order)).where("seed")
+    single = chained.join(seeds.select("account_number", "account_name"), "account_number")
+    single = single.select("account_number", "account_name", "earliest_start")
+
+    walked = dates.where("several").select("account_number", "start_date", "last_end", "seed")
+    walked = walked.repartition("account_number").sortWithinPartitions("account_number", F.desc("start_date"))
+    kind = starts.schema["account_number"].dataType.simpleString()
+    nearest = walked.mapInArrow(_walk(gap_days), f"account_number {kind}, start_date date, low date")
     extended = (
         starts.join(nearest, ["account_number", "start_date"])
         .where(F.col("last_end") >= F.date_sub(F.col("low"), gap_days))
         .select("account_number", "account_name", "start_date")
     )
-    return (
-        extended.unionByName(seeds)
-        .groupBy("account_number", "account_name")
-        .agg(F.min("start_date").alias("earliest_start"))
-    )
+    kept = seeds.join(names.where("several").select("account_number"), "account_number", "left_semi")
+    lone = seeds.where("account_number IS NULL").select("account_number", "account_name", "start_date")
+    several = extended.unionByName(kept).groupBy("account_number", "account_name").agg(F.min("start_date").alias("earliest_start"))
+    return single.unionByName(several).unionByName(lone.withColumnRenamed("start_date", "earliest_start"))
+
+
+def _walk(gap_days: int):
+    """Next to each start of an account the nearest later one that its chain has reached.
+
+    Rows come by account, latest start first; only the last account and date are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account, low = None, None
+        for batch in batches:
+            lows = []
+            days = [batch.column(c).cast(pa.int32()).to_pylist() for c in ("start_date", "last_end")]
+            for name, start, end, seed in zip(batch.column("account_number").to_pylist(), *days, batch.column("seed").to_pylist()):
+                if name != account:
+                    account, low = name, None
+                lows.append(low)
+                if seed or (low is not None and end is not None and end >= low - gap_days):
+                    low = start
+            columns = [batch.column("account_number"), batch.column("start_date"), pa.array(lows, pa.int32()).cast(pa.date32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["account_number", "start_date", "low"])
+
+    return run
 
 
 def client_tenure(subscriptions: DataFrame, as_of, years_back: int = 5, gap_days: int = GAP_DAYS) -> DataFrame:

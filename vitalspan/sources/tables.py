@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalspan.session import scratch_path
+
 EVALUATION_LOG = T.StructType(
     [
         T.StructField("logged_at", T.TimestampType()),
@@ -32,10 +35,29 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Replace the named table with ``df`` and read it back."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Replace the named table with ``df`` and read it back.
+
+    The rows go to a new place below ``folder`` (by default the session's shared folder); once
+    they are counted there, the table is pointed at it. Readers see the old rows or the new
+    ones, a set may be made from itself, and a failed or short write leaves the table as it
+    was. The old files stay for readers that have begun; other columns than before make a new
+    table under the name.
+    """
+    spark = df.sparkSession
+    place = scratch_path(spark, name.replace(".", "-")) if folder is None else f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(place)
+    stored = spark.read.schema(df.schema).parquet(place)
+    if stored.count() != written.get["n"]:
+        raise ValueError(f"{place} does not hold the rows written for {name}")
+    if spark.catalog.tableExists(name):
+        if [(c.name, c.dataType) for c in spark.table(name).schema] == [(c.name, c.dataType) for c in df.schema]:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{place}'")
+            spark.catalog.refreshTable(name)
+            return spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
+    return spark.catalog.createTable(name, path=place, source="parquet", schema=df.schema)
 
 
 def snapshot(df: DataFrame, path: str) -> DataFrame:
