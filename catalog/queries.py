@@ -21,6 +21,8 @@ from vitalspan.operators.tenure import client_tenure
 from vitalspan.operators.tickets import ticket_rollup
 from vitalspan.plans import training
 from vitalspan.plans.tenant_run import tenant_features
+from vitalspan.session import scratch_path
+from vitalspan.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,6 +138,13 @@ def report_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.report_usage(owners, t.prebuilts, t.access_log, t.session_dates, AS_OF)
 
 
+def report_usage_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report usage written by title and month, with each row's place as it is read back."""
+    path = scratch_path(spark, "report-usage")
+    tables.write_ordered(report_usage(spark, sf_dir), path, ["title", "month_start", "client", "jasper_prebuilt_id", "academic_year"])
+    return tables.read_ordered(spark, path).select("place", "title", "month_start", "client", "jasper_prebuilt_id", "academic_year")
+
+
 def admin_first_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = a.tenant_tables(spark, sf_dir)
     months = features.admin_months(features.first_rollovers(t.basic_log, t.users, t.user_roles, t.roles), AS_OF)
@@ -217,6 +226,7 @@ RELATIONAL: dict[str, Query] = {
     "tenant_account_id": tenant_accounts,
     "academic_year_bounds": lambda s, d: academic_years(a.tenant_tables(s, d).session_dates),
     "report_usage": report_usage,
+    "report_usage_ordered": report_usage_ordered,
     "admin_first_rollover": admin_first_rollover,
     "admin_tenure": admin_tenure,
     "common_assessments": common_assessments,

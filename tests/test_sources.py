@@ -84,3 +84,16 @@ def test_a_table_is_replaced_from_itself_or_left_alone(spark):
     tables.materialize(spark.range(3).select(F.col("id").alias("other")), name)
     assert spark.table(name).columns == ["other"]
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_an_ordered_set_has_every_row_in_its_place(spark):
+    made = [(None if i % 7 == 0 else f"t{i % 5}", i % 3, i) for i in range(200)] + [("t1", 1, 500)] * 3
+    df = spark.createDataFrame(made, "title string, month int, n int")
+    path = scratch_path(spark, "ordered")
+    manifest = tables.write_ordered(df, path, ["title", "month"], parts=6).orderBy("part").collect()
+    assert sum(r["size"] for r in manifest) == len(made) and len(manifest) > 2
+    got = sorted((r["place"], r["title"], r["month"], r["n"]) for r in tables.read_ordered(spark, path).collect())
+    want = sorted(made, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2]))
+    assert got == [(k + 1, *r) for k, r in enumerate(want)]
+    tables.write_ordered(df.limit(0), path, ["title"])
+    assert tables.read_ordered(spark, path).collect() == []

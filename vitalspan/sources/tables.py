@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalspan.session import scratch_path
+from vitalspan.session import cut_lineage, scratch_path
 
 EVALUATION_LOG = T.StructType(
     [
@@ -66,6 +66,34 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Write ``df`` in ascending order of ``keys``, NULL last, and return its manifest.
+
+    Tasks hold ranges of the order, each written sorted below ``part=<number>``. The manifest
+    has a line for each part: its number, its rows and how many rows are before it. Rows equal
+    in ``keys`` are ordered by the other columns that can be compared.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c, kind in df.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
+    order = [F.col(c).asc_nulls_last() for c in (*keys, *rest)]
+    # Rows are placed once: a second sampling of the ranges could place them otherwise.
+    placed = cut_lineage(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    numbered = placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("long"))
+    numbered.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a line for each part
+    counts.withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_ordered(spark: SparkSession, path: str, place: str = "place") -> DataFrame:
+    """The rows of an ordered set, with each row's place in the whole order, from 1."""
+    manifest = spark.read.parquet(f"{path}/manifest").select("part", "before")
+    rows = spark.read.parquet(f"{path}/rows").withColumnRenamed("place", "__place").join(F.broadcast(manifest), "part")
+    return rows.withColumn(place, F.col("before") + F.col("__place")).drop("part", "before", "__place")
+
+
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Stored training rows whose label is known; the test reaches the scan."""
     return spark.read.parquet(path).where(F.col("hs_did_change").isNotNull())
