@@ -108,3 +108,18 @@ def test_sigmoids_of_all_groups_equal_single_fits(spark):
         assert (r["slope"], r["intercept"]) == (pytest.approx(slope, abs=1e-4), pytest.approx(intercept, abs=1e-4))
     apart = spark.createDataFrame([(0, -1.0, 0.0), (0, 1.0, 1.0)], "fold int, score double, label double")
     assert shared.fit_sigmoids(apart, ["fold"]).first()["slope"] > 0
+
+
+def test_rows_with_text_keys_are_undersampled_alike(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from vitalspan.ml.sampling import edited_nearest_neighbours
+
+    draw = np.random.default_rng(7)
+    made = [(i, float(i % 4 == 0), [float(v) for v in draw.normal(i % 4 == 0, 1, 2)]) for i in range(80)]
+    df = spark.createDataFrame(made, "row_id long, label double, v array<double>").withColumn("features", array_to_vector("v"))
+    named = df.withColumn("row_id", F.concat(F.lit("k-"), F.col("row_id").cast("string")))
+    sample = edited_nearest_neighbours()
+    got = {int(r["row_id"][2:]) for r in sample(named, "features").collect()}
+    assert got == {r["row_id"] for r in sample(df, "features").collect()} and len(got) < 80

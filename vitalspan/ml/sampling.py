@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalspan.functions.prefix import rank_values
 from vitalspan.session import cut_lineage
 
 BLOCK_ROWS = 20_000
@@ -181,9 +182,16 @@ def edited_rows(points: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) ->
 
 
 def edited_nearest_neighbours(key: str = "row_id", label: str = "label", k: int = 3, block_rows: int = BLOCK_ROWS):
-    """A sampler for the training rows of a fit: (encoded rows, vector column) -> rows kept."""
+    """A sampler for the training rows of a fit: (encoded rows, vector column) -> rows kept.
+
+    Keys are unique; those that are no whole numbers are searched by their rank.
+    """
 
     def sample(encoded: DataFrame, features: str) -> DataFrame:
+        if not isinstance(encoded.schema[key].dataType, T.IntegralType):
+            ranks = cut_lineage(rank_values(encoded.select(key), key, descending=False).select(key, F.col("rank").alias("__rank")))
+            kept = edited_nearest_neighbours("__rank", label, k, block_rows)(encoded.join(ranks, key), features)
+            return kept.drop("__rank")
         points = encoded.select(
             F.col(key).cast("long").alias("row_id"),
             F.col(label).cast("double").alias("label"),
