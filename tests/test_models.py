@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from vitalspan.ml import calibrate, cv, evaluate, models, prep, sampling
+from vitalspan.ml import calibrate, cv, evaluate, models, neighbours, prep, sampling
 from vitalspan.ml.specs import CATEGORICAL, FULL_NUMERIC, LOGIT_MODELS, MARGIN_MODELS, REDUCED_NUMERIC, ModelSpec
 from vitalspan.session import scratch_path
 from vitalspan.sources import tables
@@ -166,14 +166,44 @@ def test_edited_rows_equal_brute_force(spark, kind):
         assert rows(sampling.edited_rows(df, 3, block_rows), "row_id") == brute_force(points, 3)
 
 
-def test_far_cells_are_not_compared():
-    import pandas as pd
+def test_vectors_travel_only_to_cells_within_their_radius(spark):
+    # Nine clumps a thousand apart: no radius reaches another clump.
+    source = random.Random(4)
+    points = [(i, float(i % 5 == 0), [1000.0 * (i % 9) + source.random(), source.random()]) for i in range(900)]
+    df = spark.createDataFrame(points, "row_id long, label double, vector array<double>")
+    distinct = neighbours.copies(df, 4)
+    placed, levels = neighbours.grow(distinct, 900, 20, fan=8)
+    assert len(levels) == 2 and placed.count() == 900
+    assert levels[0].count() == 8 and levels[1].count() <= 64
+    clump = lambda column: F.floor(F.col(column)[0] / 1000)
+    asking = distinct.select("vector_id", "vector", F.lit(2.0).alias("reach"), F.lit(0).alias("own"))
+    sent = neighbours.route(asking, levels, 20)
+    # Each vector reaches its own cell, and only cells with a vector no farther than their radius allows.
+    homes = sent.join(placed.select("vector_id", F.col("cell").alias("home")), "vector_id")
+    assert homes.where("cell = home").count() == 900
+    seen = placed.groupBy("cell").agg(F.collect_set(clump("vector")).alias("clumps"))
+    far = sent.join(seen, "cell").where((F.size("clumps") == 1) & ~F.array_contains("clumps", clump("vector")))
+    assert far.count() == 0
+    assert sent.count() < 900 * levels[1].count() / 3
+    # Without a radius every vector meets every cell.
+    wide = neighbours.route(asking.withColumn("reach", F.lit(float("inf"))), levels, 20)
+    assert wide.count() == 900 * levels[1].count()
+
+
+@pytest.mark.parametrize("skip", [None, 0.0])
+def test_nearest_rows_of_a_deep_tree_equal_brute_force(spark, skip):
+    source = random.Random(6)
+    points = [(i, float(i % 3 == 0), [round(source.gauss(50 * (i % 4), 9)) + 0.0, 1e6]) for i in range(260)]
+    df = spark.createDataFrame(points, "row_id long, label double, vector array<double>")
+    found = neighbours.nearest_rows(df, 3, 10, skip, fan=3).collect()
+    asked = [p for p in points if p[1] != skip]
+    expected = {r: sorted((math.dist(v, w), s) for s, _, w in points if s != r)[:3] for r, _, v in asked}
+    assert {r.row_id: [(n.gap, n.row_id) for n in r.near] for r in found} == expected and len(found) == len(asked)
+
 
-    pivots = np.array([[0.0], [100.0], [200.0]])
-    cells = pd.DataFrame({"cell": [0, 1, 2], "radius": [1.0, 1.0, 1.0], "size": [9, 9, 9], "gaps": [[0.0, 0.1, 0.2, 0.3]] * 3})
-    assert sampling._cell_pairs(cells, pivots, 4) == [(0, 0), (1, 1), (2, 2)]
-    sparse = cells.assign(gaps=[[0.0, 0.1, 0.2, 0.3], [0.0], [0.0, 0.1, 0.2, 0.3]])
-    assert (1, 0) in sampling._cell_pairs(sparse, pivots, 4) and (1, 2) in sampling._cell_pairs(sparse, pivots, 4)
+def test_no_rows_have_no_neighbours(spark):
+    df = spark.createDataFrame([], "row_id long, label double, vector array<double>")
+    assert neighbours.nearest_rows(df).count() == 0 and sampling.edited_rows(df).count() == 0
 
 
 def test_sampling_touches_training_rows_only(spark, sample):

@@ -5,7 +5,7 @@ from catalog import queries as q
 from conftest import day, rows
 from pyspark.sql import functions as F
 
-from vitalspan.ml import sampling
+from vitalspan.ml import neighbours
 from vitalspan.operators.features import admin_tenure
 from vitalspan.plans import training
 from vitalspan.session import scratch_path
@@ -51,7 +51,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_copies_are_limited_before_the_shuffle(spark):
     points = spark.createDataFrame([(1, 0.0, [1.0])], "row_id long, label double, vector array<double>")
-    assert "WindowGroupLimit" in plan(sampling._copies(points, 4))
+    assert "WindowGroupLimit" in plan(neighbours.copies(points, 4))
 
 
 FEATURE = "client string, sf_an string, month_start date, academic_year int"

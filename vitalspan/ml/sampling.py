@@ -2,183 +2,25 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalspan.functions.prefix import rank_values
+from vitalspan.ml.neighbours import BLOCK_ROWS, nearest_rows
 from vitalspan.session import cut_lineage
 
-BLOCK_ROWS = 20_000
-MOST_PIVOTS = 2_048
-CHUNK = 512
-
-
-def _copies(points: DataFrame, members: int) -> DataFrame:
-    """One row per distinct vector with the smallest of its rows as (id, label).
-
-    The limit per vector is applied before the shuffle, so any number of equal rows moves
-    only a few per task.
-    """
-    smallest = Window.partitionBy("vector").orderBy("row_id")
-    few = points.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= members)
-    return few.groupBy("vector").agg(
-        F.min("row_id").alias("vector_id"), F.sort_array(F.collect_list(F.struct("row_id", "label"))).alias("members")
-    )
-
-
-def _squared(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    found = (rows**2).sum(1)[:, None] + (others**2).sum(1)[None, :] - 2.0 * rows @ others.T
-    return np.maximum(found, 0.0)
-
-
-def _assign(pivots: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            rows = np.stack(batch["vector"].to_numpy()) if len(batch) else np.zeros((0, pivots.shape[1]))
-            cells = np.zeros(len(batch), dtype=np.int32)
-            gaps = np.zeros(len(batch))
-            for start in range(0, len(batch), CHUNK):
-                part = slice(start, start + CHUNK)
-                found = _squared(rows[part], pivots)
-                cells[part] = found.argmin(1)
-                gaps[part] = np.sqrt(found.min(1))
-            yield batch.assign(cell=cells, gap=gaps)
-
-    return run
-
-
-def _nearest_in_block(members: int):
-    """For each asking vector of a block pair, its nearest rows in the other block."""
-
-    def run(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out_ids, out_near = [], []
-        if len(asking) and len(held):
-            others = np.stack(held["vector"].to_numpy())
-            rows = np.stack(asking["vector"].to_numpy())
-            groups = held["members"].to_numpy()
-            ids = asking["vector_id"].to_numpy()
-            for start in range(0, len(rows), CHUNK):
-                part = rows[start : start + CHUNK]
-                rough = _squared(part, others)
-                size = min(members, len(others))
-                edge = np.partition(rough, size - 1, axis=1)[:, size - 1]
-                scale = (part**2).sum(1)
-                for i, row in enumerate(part):
-                    # The product form only screens; ties and near ties are all measured exactly.
-                    limit = edge[i] + 1e-9 * (1.0 + edge[i] + scale[i])
-                    close = np.flatnonzero(rough[i] <= limit)
-                    exact = np.sqrt(((others[close] - row) ** 2).sum(1))
-                    found = [
-                        (float(gap), int(m["row_id"]), float(m["label"]))
-                        for gap, j in zip(exact, close, strict=True)
-                        for m in groups[j]
-                    ]
-                    found.sort()
-                    out_ids.append(int(ids[start + i]))
-                    out_near.append([{"gap": g, "row_id": r, "label": v} for g, r, v in found[:members]])
-        return pd.DataFrame({"vector_id": out_ids, "near": out_near})
-
-    return run
-
-
-def _cell_pairs(cells: pd.DataFrame, pivots: np.ndarray, members: int) -> list[tuple[int, int]]:
-    """Cells that can hold a neighbour of some vector of a cell, by the triangle inequality."""
-    count = len(pivots)
-    radius = np.full(count, -1.0)
-    least = np.full((count, members), np.inf)
-    for row in cells.itertuples():
-        radius[row.cell] = row.radius
-        gaps = np.asarray(row.gaps, dtype=float)
-        least[row.cell, : len(gaps)] = gaps
-    present = np.flatnonzero(radius >= 0)
-    between = np.sqrt(_squared(pivots, pivots))
-    pairs = []
-    for i in present:
-        # Enough vectors lie within this distance of every vector of the cell.
-        reach = np.sort((between[i][:, None] + least).ravel())[members - 1] + radius[i]
-        apart = between[i, present] - radius[i] - radius[present]
-        pairs += [(int(i), int(j)) for j in present[apart <= reach * (1 + 1e-9) + 1e-9]]
-    return pairs
-
-
-def nearest_rows(points: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The ``k`` nearest other rows of every row: (row_id, label, near), exact.
-
-    ``points`` has (row_id, label, vector), the vector an array of doubles. Ties go to the
-    smaller id. Equal vectors are searched once. Vectors fall into cells around sampled
-    pivots; cells are cut into blocks of about ``block_rows``, and only block pairs the
-    triangle inequality cannot rule out are compared, each in a task of its own that keeps
-    the nearest rows and nothing else.
-    """
-    spark = points.sparkSession
-    members = k + 1  # a row is among its own nearest rows
-    distinct = cut_lineage(_copies(points, members))
-    total = distinct.count()
-    if total == 0:
-        return points.select("row_id", "label").withColumn("near", F.array().cast(NEAR))
-    wanted = min(MOST_PIVOTS, max(1, math.ceil(total / block_rows)))
-    chosen = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect()
-    pivots = np.array([row[0] for row in chosen], dtype=float)
-    schema = T.StructType([*distinct.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
-    placed = cut_lineage(distinct.mapInPandas(_assign(pivots), schema))
-    inner = Window.partitionBy("cell").orderBy("gap")
-    closest = placed.withColumn("place", F.row_number().over(inner)).where(F.col("place") <= members)
-    cells = (
-        placed.groupBy("cell")
-        .agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("size"))
-        .join(closest.groupBy("cell").agg(F.sort_array(F.collect_list("gap")).alias("gaps")), "cell")
-        .toPandas()  # one row per pivot
-    )
-    # Pairs of cells, at most the square of the pivots; their blocks are spread by the executors.
-    parts = {int(r.cell): max(1, math.ceil(r.size / block_rows)) for r in cells.itertuples()}
-    pairs = spark.createDataFrame(
-        [(i, j, parts[i], parts[j]) for i, j in _cell_pairs(cells, pivots, members)],
-        "ask_cell int, held_cell int, ask_parts int, held_parts int",
-    )
-    widths = spark.createDataFrame(list(parts.items()), "cell int, parts int")
-    blocked = placed.join(widths, "cell").withColumn("part", F.pmod(F.xxhash64("vector_id"), "parts").cast("int"))
-    keys = ["ask_cell", "held_cell", "ask_part", "held_part"]
-    asking = (
-        blocked.join(pairs, F.col("cell") == F.col("ask_cell"))
-        .withColumn("held_part", F.explode(F.sequence(F.lit(0), F.col("held_parts") - 1)))
-        .select("ask_cell", "held_cell", F.col("part").alias("ask_part"), "held_part", "vector_id", "vector")
-    )
-    held = (
-        blocked.join(pairs, F.col("cell") == F.col("held_cell"))
-        .withColumn("ask_part", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)))
-        .withColumnRenamed("part", "held_part")
-        .select(*[F.col(c).alias(c) for c in (*keys, "vector", "members")])  # names apart from the asking side's
-    )
-    found = (
-        asking.groupBy(*keys)
-        .cogroup(held.groupBy(*keys))
-        .applyInPandas(_nearest_in_block(members), f"vector_id long, near {NEAR}")
-    )
-    # A handful of rows per block pair and vector.
-    merged = found.groupBy("vector_id").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, members).alias("near")
-    )
-    vectors = distinct.select("vector", "vector_id").join(merged, "vector_id").drop("vector_id")
-    others = F.filter("near", lambda n: n["row_id"] != F.col("row_id"))
-    return points.join(vectors, "vector").select("row_id", "label", F.slice(others, 1, k).alias("near"))
-
-
-NEAR = "array<struct<gap:double,row_id:bigint,label:double>>"
-
 
 def edited_rows(points: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Row ids kept: the whole smallest class, and rows whose ``k`` nearest all share their class."""
     sizes = points.groupBy("label").count().collect()  # one row per class
-    smallest = min(sizes, key=lambda r: (r["count"], -r["label"]))["label"] if sizes else None
+    if not sizes:
+        return points.select("row_id")
+    smallest = min(sizes, key=lambda r: (r["count"], -r["label"]))["label"]
     agree = F.forall("near", lambda n: n["label"] == F.col("label"))
-    near = nearest_rows(points, k, block_rows)
-    return near.where((F.col("label") == F.lit(smallest)) | agree).select("row_id")
+    edited = nearest_rows(points, k, block_rows, skip=smallest).where(agree)
+    return points.where(F.col("label") == F.lit(smallest)).select("row_id").unionByName(edited.select("row_id"))
 
 
 def edited_nearest_neighbours(key: str = "row_id", label: str = "label", k: int = 3, block_rows: int = BLOCK_ROWS):
