@@ -85,6 +85,23 @@ def test_admin_tenure_needs_two_logins_in_three_months(spark):
     assert found.where("client = 'idle' AND sa_tenure_in_days = 0 AND rollover_date IS NULL").count() == 61
 
 
+def test_late_edits_and_logins_outside_the_calendar_do_not_count(spark):
+    log = [
+        ("c", 1, at("2019-07-15T12:00:00"), "Updated term"),
+        ("c", 1, at("2019-06-02T12:00:00"), "TERM was Updated term again"),
+        ("c", 1, at("2019-08-01T00:00:00"), "User logged in"),
+        ("c", 1, at("2019-08-31T00:00:01"), "User logged in"),  # after midnight of the month's last day
+        ("c", 1, at("1999-08-01T00:00:00"), "User logged in"),
+        ("c", 2, at("2020-09-26T00:00:00"), "Updated term"),
+        ("c", 3, at("2019-08-01T00:00:00"), "User logged in"),
+        ("c", 4, None, "Updated term"),
+        ("c", 4, None, "User logged in"),
+    ]
+    activity = features.user_activity(admin_frames(spark, log, [("c", 1, "ann")], [("c", 1, 1)], [("c", 1, "Teacher")])[0], AS_OF)
+    found = [(r.user_id, r.rollover_date, r.logins) for r in activity.collect()]
+    assert found == [(1, at("2019-03-02T12:00:00"), {day("2019-08-01"): 1})]
+
+
 def test_common_assessments_thresholds_and_overlapping_years(spark):
     pupils = [("c", s * 100 + i, f"s{s}") for s in range(3) for i in range(12)]
     enrolled = spark.createDataFrame(

@@ -91,18 +91,53 @@ def report_usage(
     )
 
 
+def _shifted():
+    """An edit's rollover date, shifted before any minimum since month arithmetic can reorder days."""
+    return F.col("log_time") - F.expr(f"INTERVAL {MONTHS_BEFORE_ROLLOVER} MONTHS")
+
+
 def first_rollovers(basic_log: DataFrame, users: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:
     """Users who edited a term: (client, user_id, username, rollover_date, roles).
 
-    The date is three months before the edit, the shift taken before the minimum since
-    month arithmetic can reorder days. A user whose every role is the vendor's is left out.
-    ``roles`` lists the other roles' names, a NULL last for a nameless role or for no role.
+    The date is three months before the edit. A user whose every role is the vendor's is left
+    out. ``roles`` lists the other roles' names, a NULL last for a nameless role or for no role.
     """
     edits = (
         basic_log.where(F.col("description").ilike(TERM_UPDATED))
         .groupBy("client", "user_id")
-        .agg(F.min(F.col("log_time") - F.expr(f"INTERVAL {MONTHS_BEFORE_ROLLOVER} MONTHS")).alias("rollover_date"))
+        .agg(F.min(_shifted()).alias("rollover_date"))
+    )
+    return _of_customers(edits, users, user_roles, roles)
+
+
+def user_activity(basic_log: DataFrame, as_of, years_back: int = 5) -> DataFrame:
+    """(client, user_id, rollover_date, logins) of users who edited a term, in one scan of the log.
+
+    ``logins`` maps a month of the calendar to its logins, so it has one entry a month at most.
+    The log shrinks by (client, user, month) first. Edits too late for the calendar's last
+    month are not read; a user with none before has no admin month either.
+    """
+    month, in_time = _in_month("log_time")
+    edit = F.col("description").ilike(TERM_UPDATED)
+    login = (F.col("description") == LOGGED_IN) & in_time & _on_calendar("log_time", as_of, 12 * years_back)
+    # A month of slack, as shorter months move a shifted day.
+    last = F.add_months(F.trunc(as_day(as_of), "MM"), MONTHS_BEFORE_ROLLOVER + 2)
+    monthly = (
+        basic_log.where(F.col("log_time") < last.cast("timestamp"))
+        .where(edit | login)
+        .groupBy("client", "user_id", month.alias("month_start"))
+        .agg(F.min(F.when(edit, _shifted())).alias("first"), F.count(F.when(login, 1)).alias("logins"))
+    )
+    counted = F.when(F.col("logins") > 0, F.struct("month_start", "logins"))
+    return (
+        monthly.groupBy("client", "user_id")
+        .agg(F.min("first").alias("rollover_date"), F.map_from_entries(F.collect_list(counted)).alias("logins"))
+        .where(F.col("rollover_date").isNotNull())
     )
+
+
+def _of_customers(edits: DataFrame, users: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:
+    """``edits`` of users who are not the vendor's own, with their names and roles."""
     other_role = F.col("role_name").isNull() | (F.col("role_name") != VENDOR_ROLE)
     held = (
         user_roles.join(roles, ["client", "role_id"], "left")
@@ -115,12 +150,13 @@ def first_rollovers(basic_log: DataFrame, users: DataFrame, user_roles: DataFram
     )
     named = F.coalesce("named", F.array().cast("array<string>"))
     roles_held = F.when(F.coalesce("nameless", F.lit(True)), F.array_append(named, F.lit(None).cast("string"))).otherwise(named)
-    people = users.where(~F.col("username").ilike(VENDOR_USER))
+    people = users.where(~F.col("username").ilike(VENDOR_USER)).select("client", "user_id", "username")
+    kept = [c for c in edits.columns if c not in ("client", "user_id")]
     return (
         edits.join(people, ["client", "user_id"])
         .join(held, ["client", "user_id"], "left")
         .where(F.coalesce("other_role", F.lit(True)))
-        .select("client", "user_id", "username", "rollover_date", roles_held.alias("roles"))
+        .select("client", "user_id", "username", *kept, roles_held.alias("roles"))
     )
 
 
@@ -150,20 +186,13 @@ def admin_tenure(
     An admin is active in a month when the logins of the last three admin months exceed
     ``logins_above``. Months without one have an empty user list and tenure 0.
     """
-    months = admin_months(first_rollovers(basic_log, users, user_roles, roles), as_of, years_back)
-    month, in_time = _in_month("log_time")
-    logins = (
-        basic_log.where(_on_calendar("log_time", as_of, 12 * years_back))
-        .where((F.col("description") == LOGGED_IN) & in_time)
-        .groupBy("client", "user_id", month.alias("month_start"))
-        .agg(F.count("log_time").alias("logins"))
-    )
+    admins = _of_customers(user_activity(basic_log, as_of, years_back), users, user_roles, roles)
+    months = admin_months(admins, as_of, years_back)
     recent = (
         Window.partitionBy("client", "user_id").orderBy("month_start").rowsBetween(1 - window_months, Window.currentRow)
     )
     active = (
-        months.join(logins, ["client", "user_id", "month_start"], "left")
-        .withColumn("logins", F.coalesce("logins", F.lit(0)))
+        months.withColumn("logins", F.coalesce(F.try_element_at("logins", "month_start"), F.lit(0)))
         .withColumn("recent", F.sum("logins").over(recent))
         .where(F.col("recent") > logins_above)
         .groupBy("client", "month_start")
