@@ -3,15 +3,16 @@
 The field reads windows of a text: runs of tokens with a digit or an ``@``. It scores whole
 segments of up to ``LONGEST`` tokens for every type by features of the segment and the word in
 front of it, and dynamic programming over segment ends chooses boundaries and types together.
-It is fitted by maximum likelihood on the patterns' finds in a bounded sample, some of them
-rewritten without the marks that the patterns rest on. A segment it is sure of is added where
-no pattern has found anything.
+It is fitted by maximum likelihood on the patterns' finds in a bounded sample of windows, some
+of them rewritten without the marks that the patterns rest on. A segment it is sure of is added
+where no pattern has found anything.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.llm.bytewords import slices
+from vitalspan.llm.findings import Finding, sampled_findings
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 4
-#: Documents the field is fitted on at most, and windows taken from them.
-SAMPLE_ROWS = 1_000
-SAMPLE_WINDOWS = 2_000
+#: Tokens of a segment at most: 19 digits in pairs.
+LONGEST = 10
+#: Windows the field is fitted on at most, of those with and of those without a find.
+SAMPLE_WINDOWS = 1_000
 #: Rounds of made-up tokens that stand for no personal data in the fit.
 CONTRAST = 60
 SURE = 0.95
@@ -92,7 +94,7 @@ _CUES = {
     2: re.compile(r"(?i)card|visa|karte|carte|tarjeta|pay"),
     3: re.compile(r"(?i)phone|tel|call|fax|mobil|ruf"),
 }
-_FEATURES = 27
+_FEATURES = 33
 _MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 _EDGES = "()[]{}<>,;:.!?\"'"
 
@@ -106,15 +108,18 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def features(segment: str, tokens: int, ahead: str) -> np.ndarray:
-    """What a whole segment looks like; ``ahead`` is the word in front of it."""
+def features(segment: str, tokens: int, ahead: str, opens: bool, ends: bool) -> np.ndarray:
+    """What a whole segment looks like; ``ahead`` is the word in front of it.
+
+    ``opens`` and ``ends``: no token of the window comes before or after it.
+    """
     digits = "".join(_DIGIT.findall(segment))
     n, size = len(digits), max(1, len(segment))
     letters = sum(c.isalpha() for c in segment)
     parts = segment.split(".")
     out = np.zeros(_FEATURES)
     out[0] = 1
-    out[1 + min(tokens, LONGEST) - 1] = 1
+    out[min(tokens, 4)] = 1
     out[5 + (0 if n < 4 else 1 if n < 7 else 2 if n < 9 else 3 if n < 13 else 4 if n < 20 else 5)] = 1
     out[11] = "@" in segment
     out[12] = bool(re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s.]{2,}", segment))
@@ -131,6 +136,12 @@ def features(segment: str, tokens: int, ahead: str) -> np.ndarray:
     for k, cue in _CUES.items():
         out[22 + k] = bool(cue.search(ahead))
     out[26] = bool(_MIXED.search(segment))
+    out[27] = len(groups) >= 4 and all(len(g) == 2 for g in groups[1:])
+    out[28] = 9 <= n <= 15 and len(groups) > 2
+    out[29] = tokens > 6
+    out[30] = len(groups) >= 3 and len(groups[-1]) == 4 and len(groups[-2]) == 3
+    out[31] = opens
+    out[32] = ends
     return out
 
 
@@ -148,32 +159,40 @@ class Window:
                     continue
                 before = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ahead
                 mine.append((i, len(rows)))
-                rows.append(features(text[a:b], j - i + 1, before))
+                rows.append(features(text[a:b], j - i + 1, before, i == 0, j == self.n - 1))
                 self.places.append((a, b, i, j))
             self.ends.append(mine)
         self.x = np.array(rows).reshape(len(rows), _FEATURES)
 
 
-def windows(text: str) -> Iterator[Window]:
-    """The windows of a text; between two of them is a token without digit or ``@``."""
+def runs(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
+    """Runs of tokens with a digit or ``@``, and the word ahead of each."""
     if not _DIGIT.search(text) and "@" not in text:
         return
     run: list[tuple[int, int]] = []
-    ahead, last = "", ""
+    ahead, last, fresh = "", "", False
     for m in _TOKEN.finditer(text):
         token = m[0]
         if "@" in token or _DIGIT.search(token):
             if not run:
                 ahead = last
             run.append(m.span())
+            fresh = True
             if len(run) == 64:  # a table of numbers: windows overlap by the longest segment
-                yield Window(text, run, ahead)
-                run = run[-LONGEST:]
+                yield run, ahead
+                run, fresh = run[-LONGEST:], False
         elif run:
-            yield Window(text, run, ahead)
-            run = []
+            if fresh:
+                yield run, ahead
+            run, fresh = [], False
         last = token
-    if run:
+    if fresh:
+        yield run, ahead
+
+
+def windows(text: str) -> Iterator[Window]:
+    """The windows of a text; between two of them is a token without digit or ``@``."""
+    for run, ahead in runs(text):
         yield Window(text, run, ahead)
 
 
@@ -229,29 +248,62 @@ def best(window: Window, weights: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _truth(window: Window, spans: list[Span]) -> np.ndarray:
+    """1 for the segment that covers most of a span, if that is four fifths of it or more."""
     out = np.zeros((len(window.places), len(KINDS)))
-    for row, (a, b, _, _) in enumerate(window.places):
-        for kind, start, end in spans:
-            if start <= a + 1 and b - 1 <= end and (b - a) >= 0.8 * (end - start):
-                out[row, kind] = 1
+    for kind, start, end in spans:
+        inside = [(b - a, row) for row, (a, b, _, _) in enumerate(window.places) if start <= a + 1 and b - 1 <= end]
+        if inside and max(inside)[0] >= 0.8 * (end - start):
+            out[max(inside)[1], kind] = 1
     return out
 
 
-def fit_field(texts: list[str], seed: int = 5, rounds: int = 12) -> np.ndarray:
+def rewritten(kind: int, value: str, draw: np.random.Generator) -> str:
+    """A phone or card number in a form that the patterns pass over; others stay as they are."""
+    digits = "".join(_DIGIT.findall(value))
+    if kind == 3:
+        marks = [" ", " ", "-", "/"]
+        groups = [digits[: len(digits) % 2 + 2]]
+        groups += [digits[k : k + 2] for k in range(len(groups[0]), len(digits), 2)]
+        if draw.random() < 0.5:
+            marks, groups = [" ", ".", "-", "/"], [digits[:-7], digits[-7:-4], digits[-4:]]
+        elif draw.random() < 0.3:
+            return value.lstrip("+")
+        return str(draw.choice(marks)).join(groups)
+    if kind == 2:
+        return str(draw.choice([".", "/", "_"])).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    return value
+
+
+def changed(text: str, draw: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with its finds rewritten, and where they stand now."""
+    spans = sorted(base_spans(text), key=lambda s: s[1])
+    if any(a[2] > b[1] for a, b in zip(spans, spans[1:])):
+        return text, spans
+    out, at, moved = "", 0, []
+    for kind, a, b in spans:
+        out += text[at:a]
+        value = rewritten(kind, text[a:b], draw)
+        moved.append((kind, len(out), len(out) + len(value)))
+        out, at = out + value, b
+    return out + text[at:], moved
+
+
+def learned_from(text: str) -> Iterator[Finding]:
+    """Each window with the word ahead of it; 1 where a pattern finds something in it, else 0."""
+    for run, ahead in runs(text):
+        piece = text[run[0][0] : run[-1][1]]
+        yield int(bool(base_spans(piece))), f"{ahead} {piece}".encode("utf-8", "surrogatepass")
+
+
+def fit_field(texts: list[str], seed: int = 5, rounds: int = 24) -> np.ndarray:
     """Weights of the field, features x types, from the patterns' finds in ``texts``."""
     draw = np.random.default_rng(seed)
     kept: list[tuple[Window, np.ndarray]] = []
     for text in texts:
-        spans = base_spans(text)
-        # Half of the texts' phone numbers lose their mark but stay what they are.
-        if draw.random() < 0.5:
-            for kind, a, _ in spans:
-                if kind == 3:
-                    text = text[:a] + "(" + text[a + 1 :]
+        # Half of the texts' numbers lose their form but stay what they are.
+        text, spans = changed(text, draw) if draw.random() < 0.5 else (text, base_spans(text))
         for window in windows(text):
             kept.append((window, _truth(window, spans)))
-        if len(kept) >= SAMPLE_WINDOWS:
-            break
     # Contrast: numbers, versions, dates and codes that are nobody's data.
     letters, digits = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
     word = lambda alphabet, n: "".join(draw.choice(alphabet, n))
@@ -259,16 +311,17 @@ def fit_field(texts: list[str], seed: int = 5, rounds: int = 12) -> np.ndarray:
         number, code = word(digits, draw.integers(1, 13)), word(letters + digits, draw.integers(6, 40))
         version = ".".join(word(digits, draw.integers(1, 3)) for _ in range(draw.integers(2, 4)))
         date = "-".join((word(digits, 4), word(digits, 2), word(digits, 2)))
+        file = "-".join((word(digits, 3), word(digits, 2), word(digits, 4)))
         name = word(letters, 6)
-        for token in (number, code, version, date, f"{name}={code}1", f"{name}:{number}", f"@{name}", f"{name}@"):
+        for token in (number, code, version, date, file, f"{name}={code}1", f"{name}:{number}", f"@{name}", f"{name}@"):
             kept += [(w, np.zeros((len(w.places), len(KINDS)))) for w in windows(f"{name} {token} {name}")]
     weights = np.zeros((_FEATURES, len(KINDS)))
     weights[0] = -4.0
     for step in range(rounds):
-        rate = 0.3 / (1 + 0.3 * step)
+        rate = 0.3 / (1 + 0.1 * step)
         for k in draw.permutation(len(kept)):
             window, truth = kept[k]
-            weights += rate * (window.x.T @ (truth - _marginals(window, weights)) - 0.001 * weights)
+            weights += rate * (window.x.T @ (truth - _marginals(window, weights)) - 0.0001 * weights)
     return weights
 
 
@@ -276,32 +329,43 @@ def find(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     """The patterns' spans, and those the field adds to them."""
     base = base_spans(text)
     added: list[Span] = []
-    taken = [(a, b) for _, a, b in base]
+    taken: list[tuple[int, int]] = []  # apart from each other, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    last = 0  # windows of one run overlap
     for window in windows(text):
-        chosen = best(window, weights)
-        free = [c for c in chosen if not any(a < window.places[c[1]][1] and window.places[c[1]][0] < b for a, b in taken)]
+        free = []
+        for kind, row in best(window, weights):
+            a, b, _, _ = window.places[row]
+            k = bisect_right(taken, a, key=lambda t: t[0])
+            if not (k and taken[k - 1][1] > a) and not (k < len(taken) and taken[k][0] < b):
+                free.append((a, b, kind, row))
         if free:
             sure = _marginals(window, weights)
-            for kind, row in free:
-                a, b, _, _ = window.places[row]
-                if sure[row, kind] >= SURE:
+            for a, b, kind, row in sorted(free):
+                if sure[row, kind] >= SURE and a >= last:
                     added.append((kind, a, b))
-                    taken.append((a, b))
+                    last = b
     return base, added
 
 
-def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_windows: int = SAMPLE_WINDOWS
+) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of ``docs``.
 
     The counts and the digest are of the patterns' finds; ``spans`` also has the field's, as
     kind:start:end by kind, then start. NULL and empty texts have none. Repeated rows get the
-    same spans; further columns are not read; no rows give none. Where the sample holds no
-    personal data, the field adds nothing.
+    same spans; further columns are not read; no rows give none. The field is fitted on at most
+    ``sample_windows`` distinct windows with a find and as many without, drawn from all whole
+    texts; where none holds personal data, it adds nothing.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    likely = docs.where(F.col("text").rlike("[0-9]{2}|@[A-Za-z]") & (F.length("text") <= 20_000))
-    sample = likely.orderBy(F.xxhash64("text"), "text").limit(sample_rows).select("text").toArrow()
-    weights = fit_field(sample.column("text").to_pylist())
+    sample = sampled_findings(docs, learned_from, sample_windows)
+    weights = fit_field([item.decode("utf-8", "surrogatepass") for _, item in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
