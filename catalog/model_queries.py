@@ -145,6 +145,62 @@ def evaluation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_evaluations(spark, path, drop=["logged_at", "weights", "features"])
 
 
+def roundtrip_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per label, and those that a model scores alike before saving and after loading."""
+    rows = a.labelled_documents(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    model = models.fit_model(rows, DOCUMENT_LOGIT, 1.0)
+    tables.save_model(model, path)
+    before = models.scores(model, rows).select("row_id", "label", "score", "probability_1")
+    after = models.scores(tables.load_model(path), rows).select("row_id", F.col("score").alias("again"), F.col("probability_1").alias("again_1"))
+    same = (F.col("score") == F.col("again")) & (F.col("probability_1") == F.col("again_1"))
+    return before.join(after, "row_id").groupBy("label").agg(F.count(F.lit(1)).alias("scored"), F.count_if(same).alias("equal"))
+
+
+def logged_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of two thresholds per line status, logged by two runs and read back as one log."""
+    mixed = (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 1000
+    lines = a.table(spark, sf_dir, "lineitem").select(
+        F.col("l_linestatus").alias("model_name"), (F.col("l_returnflag") == "R").cast("int").alias("label"), (mixed / 1000.0).alias("score")
+    )
+    path = scratch_path(spark, "evaluations")
+    for threshold in (0.25, 0.75):
+        said = lines.withColumn("prediction", evaluate.label_at(F.col("score"), threshold))
+        found = evaluate.class_metrics(said, keys=["model_name"])
+        logged = found.select(
+            "model_name",
+            F.array(F.lit("score")).alias("features"),
+            F.create_map(F.lit(0), F.lit(1.0), F.lit(1), F.lit(1.0)).alias("weights"),
+            "accuracy",
+            F.lit(None).cast("double").alias("roc_auc"),
+            *("f1", "precision", "recall"),
+            F.lit("threshold").alias("kind"),
+            F.lit(False).alias("outside_spell"),
+            F.lit(threshold).alias("c"),
+        )
+        tables.append_evaluations(logged, path)
+    log = tables.read_evaluations(spark, path, drop=["roc_auc", "outside_spell"])
+    return log.select(
+        *("model_name", "kind", "c"),
+        *[F.round(m, 6).alias(m) for m in ("accuracy", "f1", "precision", "recall")],
+        F.array_join("features", ",").alias("features"),
+        F.col("weights")[1].alias("weight_1"),
+        F.col("logged_at").isNotNull().alias("stamped"),
+    )
+
+
+def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training set written to a snapshot, and its labelled rows read back."""
+    from catalog.queries import build_full_training
+
+    path = scratch_path(spark, "training")
+    tables.snapshot(build_full_training(spark, sf_dir), path)
+    labelled = tables.read_labelled(spark, path)
+    return labelled.groupBy(F.col("hs_did_change").cast("int").alias("label"), "change_type_order").agg(
+        F.count(F.lit(1)).alias("stored"), F.countDistinct("sf_an").alias("accounts")
+    )
+
+
 def labels_said(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.scored_lines(spark, sf_dir).withColumn("prediction", evaluate.label_at(F.col("score"), 0.5))
 
@@ -322,7 +378,10 @@ MODELLING = {
     "platt_calibration": calibrated,
     "coefficients": coefficients,
     "model_roundtrip": model_roundtrip,
+    "roundtrip_equality": roundtrip_equality,
     "eval_log": evaluation_log,
+    "logged_thresholds": logged_thresholds,
+    "stored_labels": stored_labels,
     "class_metrics": lambda s, d: evaluate.class_metrics(labels_said(s, d)),
     "roc_auc": roc_areas,
     "roc_points": lambda s, d: evaluate.roc_points(a.scored_lines(s, d)),

@@ -13,7 +13,7 @@ from catalog.adapters import AS_OF
 from catalog.model_queries import MODELLING
 from catalog.oracle import COHORT_KEYS, TENANT_RESPONSES_ABOVE
 from vitalspan import configure
-from vitalspan.functions.prefix import with_rank
+from vitalspan.functions.prefix import with_both_ranks
 from vitalspan.operators import features, tenants, usage
 from vitalspan.operators.calendar import academic_years, months_back, reporting_periods
 from vitalspan.operators.cohorts import COHORTS, cohort_buckets, cohort_report
@@ -123,8 +123,7 @@ def all_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = usage.scrub_usage(a.usage_panel(spark, sf_dir, a.stored_months(spark, sf_dir)))
     rows = stored.select("sf_an", "start_date", F.col("user_created_custom_reports").alias("reports"))
-    up = with_rank(rows, "reports", "rank_up", descending=False)
-    return with_rank(up, "reports", "rank_down")
+    return with_both_ranks(rows, "reports")
 
 
 def tenant_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vitalspan.functions.prefix import rank_values, running_totals, with_rank
+from vitalspan.functions.prefix import rank_values, rank_values_both, running_totals, with_both_ranks, with_rank
 from vitalspan.operators.cohorts import bucketed_ranges
 
 
@@ -40,6 +40,23 @@ def test_row_ranks_keep_every_row(spark):
     assert rows(with_rank(df, "v", slots=5), "k", "v", "rank") == rows(want, "k", "v", "rank")
 
 
+def test_both_ranks_equal_two_windows(spark):
+    df = values(spark, 4)
+    for keys in ([], ["k"]):
+        over = Window.partitionBy(*keys)
+        want = df.withColumn("rank_up", F.rank().over(over.orderBy(F.col("v").asc_nulls_last())))
+        want = want.withColumn("rank_down", F.rank().over(over.orderBy(F.col("v").desc_nulls_first())))
+        columns = (*keys, "v", "rank_up", "rank_down")
+        assert rows(rank_values_both(df, "v", keys, slots=6), *columns) == rows(want.select(*columns).distinct(), *columns)
+    assert rows(with_both_ranks(df, "v"), "k", "v", "rank_up", "rank_down") == rows(
+        df.withColumn("rank_up", F.rank().over(Window.orderBy(F.col("v").asc_nulls_last()))).withColumn(
+            "rank_down", F.rank().over(Window.orderBy(F.col("v").desc_nulls_first()))
+        ),
+        *("k", "v", "rank_up", "rank_down"),
+    )
+    assert with_both_ranks(df.limit(0), "v").count() == 0
+
+
 def test_running_totals_and_following_row(spark):
     df = values(spark, 3).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
     order = Window.orderBy(F.desc("v"))

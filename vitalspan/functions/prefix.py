@@ -24,13 +24,14 @@ def running_totals(
     descending: bool = True,
     slots: int | None = None,
     following: bool = False,
+    whole: bool = False,
 ) -> DataFrame:
     """Add ``<sum>_before``: the total of each sum over rows strictly ahead in the order.
 
     NULL values come first when descending and last when ascending; there may be any number
     of ``keys``. ``slots`` is the number of partitions, by default that of shuffles. With
     ``following``, ``<sum>_next`` is the sum held by the next row in the order, NULL on the
-    last one.
+    last one. With ``whole``, ``<sum>_all`` is the total of all rows of the keys.
     """
     slots = slots or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_last()
@@ -49,6 +50,8 @@ def running_totals(
     picks = [F.coalesce(F.sum(f"{s}_slot").over(ahead), F.lit(0)).alias(f"{s}_head") for s in sums]
     if following:
         picks.append(F.lead("opening").over(across).alias("opening"))
+    if whole:
+        picks += [F.sum(f"{s}_slot").over(Window.partitionBy(*keys)).alias(f"{s}_all") for s in sums]
     heads = heads.select(*keys, "slot", *picks)
 
     inside = Window.partitionBy(*keys, "slot").orderBy(order)
@@ -68,6 +71,8 @@ def running_totals(
     out += [(local[f"{s}_in"] + heads[f"{s}_head"]).alias(f"{s}_before") for s in sums]
     if following:
         out += [F.coalesce(local[f"{s}_after"], heads["opening"][s]).alias(f"{s}_next") for s in sums]
+    if whole:
+        out += [heads[f"{s}_all"] for s in sums]
     return joined.select(*out)
 
 
@@ -88,3 +93,23 @@ def with_rank(
         F.col(value).alias("ranked_value"), F.col("rank").alias(name)
     )
     return df.join(ranks, df[value].eqNullSafe(ranks["ranked_value"]), "left").drop("ranked_value")
+
+
+def rank_values_both(df: DataFrame, value: str, keys: Sequence[str] = (), slots: int | None = None) -> DataFrame:
+    """``rank()`` of every distinct (keys, value) up, NULL last, and down, NULL first.
+
+    The two orders are each other's reverse, so the rank down follows from the total, the rows
+    ahead and the value's own rows: one range shuffle serves both.
+    """
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    up = running_totals(counted, value, ["n"], keys, descending=False, slots=slots, whole=True)
+    down = F.col("n_all") - F.col("n_before") - F.col("n") + 1
+    return up.select(*keys, value, "n", (F.col("n_before") + 1).alias("rank_up"), down.alias("rank_down"))
+
+
+def with_both_ranks(df: DataFrame, value: str, up: str = "rank_up", down: str = "rank_down", slots: int | None = None) -> DataFrame:
+    """Row-level ranks in both directions, from one order of the distinct values."""
+    ranks = rank_values_both(df, value, (), slots).select(
+        F.col(value).alias("ranked_value"), F.col("rank_up").alias(up), F.col("rank_down").alias(down)
+    )
+    return df.join(ranks, df[value].eqNullSafe(ranks["ranked_value"]), "left").drop("ranked_value")
