@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalspan.llm.bytewords import PLAIN, ByteWords, mix, slices, text_buffer
+from vitalspan.session import cut_lineage
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -71,6 +72,7 @@ class Suffixes:
     def __init__(self, rows: Sequence[tuple[str, str]], window: int):
         self.window = window
         self.ids = np.array([r[0] for r in rows], object)
+        self.rank = np.unique(self.ids, return_inverse=True)[1]
         data, offsets = text_buffer(pa.array([r[1] for r in rows], pa.string()))
         hashes, _, _, bounds = ByteWords(PLAIN).of(data, offsets)
         sizes = np.diff(bounds)
@@ -153,7 +155,7 @@ def _annotate(batch: pa.RecordBatch, known: Suffixes, words: ByteWords, text: st
         doc = np.searchsorted(bounds, run_at, "right") - 1
         for d, i in set(zip(doc.tolist(), run_item.tolist())):
             items[d].add(known.ids[i])
-        order = np.lexsort((run_word, run_item, run_at, -run_n, doc))
+        order = np.lexsort((run_word, known.rank[run_item], run_at, -run_n, doc))
         lead = np.ones(len(order), bool)
         lead[1:] = np.diff(doc[order]) != 0
         for k in order[lead].tolist():
@@ -167,8 +169,8 @@ def _annotate(batch: pa.RecordBatch, known: Suffixes, words: ByteWords, text: st
             hits = _joined(hits + [(h["start"], h["stop"]) for h in earlier[d]["hits"]])
             names = names | set(earlier[d]["items"])
             old = earlier[d]["longest"]
-            if old is not None and (top is None or old["n_words"] >= top[3]):
-                top = (old["item_id"], old["doc_word"], old["item_word"], old["n_words"])
+            found = [m for m in (top, old and (old["item_id"], old["doc_word"], old["item_word"], old["n_words"])) if m]
+            top = min(found, key=lambda m: (-m[3], m[1], m[0], m[2]), default=None)
         out.append(
             {
                 "n_words": counts[d],
@@ -206,11 +208,12 @@ def match_items(
     Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. A match is a
     run of ``window`` item words, or a whole shorter item. ``hits`` has the disjoint runs of
     matched document words, ``items`` the matched ids as sorted distinct strings, ``longest``
-    the longest verbatim match and its places (ties: the first in the document, then the item
-    row). NULL and empty texts have no words; items without words match nothing; a NULL
+    the longest verbatim match and its places (ties: the first in the document, then the
+    smallest item id, then the first in the item). NULL and empty texts have no words; items without words match nothing; a NULL
     item_id counts as the empty string; no items give no matches. A column of ``docs`` named
-    like ``into`` is replaced. Only ``item_bytes`` of the benchmark are held at a time: a
-    larger one is split by hash into blocks of that size, each a pass over the documents.
+    like ``into`` is replaced. About ``item_bytes`` of the benchmark are held at a time: a
+    larger one is split by hash into blocks of that size, each a pass over the documents whose
+    result is stored before the next block is fetched.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
@@ -225,6 +228,8 @@ def match_items(
         source = [*columns, *([into] if b else []), *([text] if text not in columns else [])]
         schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(into, MATCHES)])
         done = done.select(*dict.fromkeys(source)).mapInArrow(_pass(rows, columns, text, into, window, bool(b)), schema)
+        if not last:
+            done = cut_lineage(done)
     return done
 
 
