@@ -157,6 +157,32 @@ def test_mixing(spark):
     assert high == sorted(high) and high[-1] == pytest.approx(1.0) and high[900] == pytest.approx(0.5, abs=0.02)
 
 
+def test_decontamination_holds_one_block_at_a_time(spark):
+    phrase = lambda k: " ".join(f"w{k}x{j}" for j in range(10))
+    items = spark.createDataFrame([(f"i{k:02}", phrase(k)) for k in range(40)], "item_id string, text string")
+    docs = spark.createDataFrame([(k, f"so {phrase(k)} and {phrase(k + 7)} on") for k in range(50)], "doc_id long, text string")
+    one = decontam.match_items(docs, items)
+    many = decontam.match_items(docs, items, item_bytes=items.agg(F.sum(F.octet_length("text"))).first()[0] // 10)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert rows(many, "doc_id", "matches") == rows(one, "doc_id", "matches")
+    assert {r["doc_id"] for r in many.where("size(matches.hits) = 0").collect()} == set(range(40, 50))
+
+
+def test_samples_stay_bounded_where_doc_ids_repeat(spark, monkeypatch):
+    texts = [(k % 4, f"{'you worthless idiot' if k % 2 else 'a calm walk'} number {k} by the {'lake river hill field'.split()[k % 4]} {'pq'[k % 2] * (k + 1)}") for k in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
+    seen = []
+    kept = quality.Network
+    monkeypatch.setattr(quality, "Network", lambda x, y: seen.append(len(y)) or kept(x, y))
+    assert quality.score_quality(docs, marks, folds=997, held=996, sample_rows=50).count() == 400
+    assert seen == [50]
+    fitted = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda text, term, target, start: seen.append(len(target)) or fitted(text, term, target, start))
+    assert toxicity.score_toxicity(docs, marks, folds=997, held=996, sample_rows=50).count() == 400
+    assert 0 < seen[1] <= 50
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([("a", "two three four five six seven eight nine ten eleven"), ("b", "padding and"), ("c", None), ("d", "..."), (None, "東京")], "item_id string, text string")
     docs = frame(spark)

@@ -204,9 +204,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # The sample has ``sample_rows`` rows at most.
+    # ``sample_rows`` labels, and as many rows: a doc_id may stand in any number of them.
     fit = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(features, f"doc_id {kind}, y int, x array<float>")
-    fit = fit.toArrow()
+    fit = fit.dropDuplicates().orderBy(F.xxhash64("doc_id", "x"), "doc_id").limit(sample_rows).toArrow()
     x = np.array(fit.column("x").to_pylist(), float).reshape(fit.num_rows, 2 * WIDTH + 1)
     y = fit.column("y").to_numpy().astype(int)
     order = np.lexsort((*x.T[:4], y))

@@ -298,10 +298,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS):
     """A function from a batch with texts to scores."""
     chosen = training_rows(labels, label, folds, held, sample_rows)
-    # The sample has ``sample_rows`` rows at most.
+    # ``sample_rows`` labels at most.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
     sample = cut_lineage(without_copies(sample))
     rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if rows > sample_rows:  # several rows of ``docs`` share a labelled doc_id
+        key = F.xxhash64("text")
+        few = sample.select(key.alias("key")).orderBy("key").limit(sample_rows)
+        sample = cut_lineage(sample.join(few, key == few["key"], "left_semi"))
+        rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     seeds = [word_hashes(words.split()) for words in SEEDS.values()]
     mined, strength = mine_terms(sample, rows, toxic)
     every = np.unique(np.concatenate([mined, *seeds]))
