@@ -157,6 +157,31 @@ def test_mixing(spark):
     assert high == sorted(high) and high[-1] == pytest.approx(1.0) and high[900] == pytest.approx(0.5, abs=0.02)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_of_a_tile_give_its_links(same):
+    draw = np.random.default_rng(11)
+    centres = draw.normal(size=(5, 16))
+    x, y = (c[draw.integers(0, 5, 40)] + 0.12 * draw.normal(size=(40, 16)) for c in (centres, centres))
+    y = x if same else y[:33]
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    counts, weights = draw.integers(1, 4, len(x)), draw.integers(1, 4, len(y))
+    if same:
+        weights = counts
+    left, right, tree = vectors.tile_links(x, y, counts, weights, 0.93, same, block=7)
+    near = np.triu(x @ y.T >= 0.93, 1) if same else x @ y.T >= 0.93
+    assert near.any() and (left == near @ weights).all() and (right == counts @ near).all()
+    assert len(tree) < len(x) + len(y) and near[tree[:, 0], tree[:, 1]].all()
+    reached = []
+    for pairs in (tree, np.argwhere(near)):
+        name = np.arange(len(x) + len(y))
+        for _ in name:
+            for i, j in pairs:
+                j = j if same else j + len(x)
+                name[i] = name[j] = min(name[i], name[j])
+        reached.append(name.tolist())
+    assert reached[0] == reached[1]
+
+
 def test_decontamination_holds_one_block_at_a_time(spark):
     phrase = lambda k: " ".join(f"w{k}x{j}" for j in range(10))
     items = spark.createDataFrame([(f"i{k:02}", phrase(k)) for k in range(40)], "item_id string, text string")

@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by products of int8 tiles with bounded error.
 
-Vectors of a label are dealt into tiles of bounded size. A pair of tiles is one matrix product
-of quantised vectors. With x = s q + e and the norm of e known for every vector, the product
+Vectors of a label are dealt into tiles of bounded size. A pair of tiles is quantised once and
+taken as blocks, each a matrix product, so that a tile is shipped once for many products. With x = s q + e and the norm of e known for every vector, the product
 is off by at most |s q| |e'| + |e| |s' q'| + |e| |e'|; only pairs that may still reach the
 threshold are computed in double precision.
 
@@ -22,7 +22,10 @@ from vitalspan.llm.links import components
 from vitalspan.session import cut_lineage
 
 THRESHOLD = 0.93
-TILE = 1024
+#: Vectors of a tile at most, about, and bytes of their components.
+TILE, TILE_BYTES = 8192, 16 << 20
+#: Vectors of either side of one product.
+BLOCK = 1024
 _SLACK = 1e-9
 _TILE_SCHEMA = "label {label}, dim int, tile long, names binary, counts binary, vectors binary"
 
@@ -45,9 +48,12 @@ def possible(x: tuple, y: tuple, threshold: float) -> np.ndarray:
     return most >= threshold - _SLACK
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> np.ndarray:
-    """The pairs (row of x, row of y) of unit vectors with cosine at or over the threshold."""
-    maybe = possible(quantise(x), quantise(y), threshold)
+def linked(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, small: tuple | None = None) -> np.ndarray:
+    """The pairs (row of x, row of y) of unit vectors with cosine at or over the threshold.
+
+    ``small`` holds both sides quantised, if they are already.
+    """
+    maybe = possible(*(small or (quantise(x), quantise(y))), threshold)
     if same:
         maybe = np.triu(maybe, 1)
     i, j = np.nonzero(maybe)
@@ -84,6 +90,29 @@ def spanning(pairs: np.ndarray, n: int, m: int, same: bool) -> np.ndarray:
     return pairs[np.unique(via[via >= 0])]
 
 
+def tile_links(x: np.ndarray, y: np.ndarray, counts: np.ndarray, weights: np.ndarray, threshold: float, same: bool, block: int = BLOCK):
+    """Links of two tiles: how many each row of x and of y has, and pairs that span them.
+
+    ``counts`` and ``weights`` say how many vectors the rows of x and of y stand for. Only the
+    pairs of one product of blocks are held at a time.
+    """
+    small_x = quantise(x)
+    small_y = small_x if same else quantise(y)
+    left, right = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    trees = [np.zeros((0, 2), np.int64)]
+    for a in range(0, len(x), block):
+        for b in range(a if same else 0, len(y), block):
+            rows, columns = slice(a, a + block), slice(b, b + block)
+            own = same and a == b
+            small = tuple(p[rows] for p in small_x), tuple(p[columns] for p in small_y)
+            pairs = linked(x[rows], y[columns], threshold, own, small)
+            if len(pairs):
+                np.add.at(left, a + pairs[:, 0], weights[b + pairs[:, 1]])
+                np.add.at(right, b + pairs[:, 1], counts[a + pairs[:, 0]])
+                trees.append(spanning(pairs, len(x[rows]), len(y[columns]), own) + np.array([a, b]))
+    return left, right, spanning(np.concatenate(trees), len(x), len(y), same)
+
+
 def _pack(table: pa.Table) -> pa.Table:
     vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
     # Scaled by the largest component first, so that no square overflows or vanishes.
@@ -111,12 +140,9 @@ def _product(threshold: float):
                 counts, weights = get("counts", "<i8"), get("other_counts", "<i8")
                 x, y = get("vectors", "<f8").reshape(len(names), -1), get("other_vectors", "<f8").reshape(len(others), -1)
                 same = batch.column("tile")[row].as_py() == batch.column("other")[row].as_py()
-                pairs = linked(x, y, threshold, same)
-                if not len(pairs):
+                left, right, tree = tile_links(x, y, counts, weights, threshold, same)
+                if not len(tree):
                     continue
-                left = np.bincount(pairs[:, 0], weights[pairs[:, 1]], len(names)).astype(np.int64)
-                right = np.bincount(pairs[:, 1], counts[pairs[:, 0]], len(others)).astype(np.int64)
-                tree = spanning(pairs, len(names), len(others), same)
                 found, also = np.flatnonzero(left), np.flatnonzero(right)
                 none = lambda k: np.full(k, -1)
                 yield pa.RecordBatch.from_arrays(
@@ -141,7 +167,8 @@ def near_duplicates(
     non-finite components, link with nothing, nor do vectors of different length. Repeated
     rows count as further vectors. ``component_id`` is the smallest vec_id reachable by links,
     its own included; a NULL vec_id only counts if there is no other. ``kept`` tells whether
-    it is the row's own. Further columns are not read; no rows give none.
+    it is the row's own. Further columns are not read; no rows give none. A tile holds about
+    ``tile`` vectors, fewer where these would take more than ``TILE_BYTES``.
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -153,7 +180,9 @@ def near_duplicates(
 
     classes = rows.where("good").groupBy("label", "h", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = cut_lineage(classes.withColumn("c", F.monotonically_increasing_id()))
-    sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("size"))
+    most = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim")))))
+    sizes = sizes.select("label", "dim", F.ceil(F.col("size") / most).alias("tiles"))
     units = classes.withColumn("dim", F.size("v")).join(sizes, ["label", "dim"])
     units = units.select("label", "dim", F.pmod(F.xxhash64("c"), "tiles").alias("tile"), "c", "n", "v")
     kind = rows.schema["label"].dataType.simpleString()
