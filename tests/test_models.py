@@ -301,3 +301,18 @@ def test_grid_ranks_points_and_sweep_feeds_the_log(spark, sample):
     log = tables.read_evaluations(spark, path, drop=["weights"])
     assert rows(log, "model_name", "outside_spell", "c") == [("one", False, 1.0)] * 2 + [("one", True, 1.0)] * 2
     assert "weights" not in log.columns and log.first()["features"] == ["x"]
+
+
+def test_models_score_after_the_session_has_been_observed(spark, sample):
+    """An observed session cannot be sent to tasks; a fitted model must not refer to it."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    sample.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 150
+    for spec, options in ((SPEC, {}), (ModelSpec(("x", "y")), {"components": 8, "maxIter": 3})):
+        model = models.fit_model(sample, spec, 1.0, **options)
+        assert models.scores(model, sample).count() == models.scores(model, sample).where("score IS NOT NULL").count() == 150
+        assert not model.stages[-1].hasSummary
+        copied = model.copy()
+        assert copied.transform(sample).where("prediction IS NOT NULL").count() == 150

@@ -65,6 +65,16 @@ def kernel_width(df: DataFrame, features: str) -> float:
     return 1.0 / (len(mean) * overall) if overall > 0 else 1.0
 
 
+def without_summary(model):
+    """A fitted classifier that has let go of its training summary.
+
+    The summary refers to the session, which can no longer be sent to tasks once anything has
+    been observed in it (``DataFrame.observe``), and every task of a transform gets the model.
+    """
+    model._call_java("setSummary", model._java_obj.trainingSummary().empty())
+    return model
+
+
 class _CostEstimator(Estimator, HasFeaturesCol, HasLabelCol):
     cost = Param(Params._dummy(), "cost", "weight of the loss", TypeConverters.toFloat)
     weights = Param(Params._dummy(), "weights", "weights of label 0 and 1", TypeConverters.toListFloat)
@@ -87,7 +97,7 @@ class CostLogistic(_CostEstimator):
 
     def _fit(self, dataset: DataFrame) -> LogisticRegressionModel:
         marked, strength = self._weighted(dataset)
-        return LogisticRegression(
+        model = LogisticRegression(
             featuresCol=self.getFeaturesCol(),
             labelCol=self.getLabelCol(),
             weightCol="class_weight",
@@ -97,6 +107,7 @@ class CostLogistic(_CostEstimator):
             maxIter=1000,
             tol=1e-7,
         ).fit(marked)
+        return without_summary(model)
 
 
 class CostMargin(_CostEstimator):
@@ -131,7 +142,7 @@ class CostMargin(_CostEstimator):
             standardization=False,
             maxIter=self.getOrDefault(self.maxIter),
         ).fit(spread.transform(marked))
-        return PipelineModel(stages=[spread, margin])
+        return PipelineModel(stages=[spread, without_summary(margin)])
 
 
 def classifier(spec: ModelSpec, cost: float, **options):
