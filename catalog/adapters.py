@@ -329,12 +329,10 @@ def tenant_tables(spark: SparkSession, sf_dir: str) -> TenantTables:
     )
 
 
-def account_features(features: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tenant features handed to every account of the nation, under its own database name."""
-    owners = _customer_nation(spark, sf_dir).select("client", "c_custkey")
-    return features.drop("sf_an").join(owners, "client").withColumns(
-        {"client": F.concat(F.lit("db_"), _text_key("c_custkey")), "sf_an": _text_key("c_custkey")}
-    ).drop("c_custkey")
+def account_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tenant, a nation, that owns each account under its own database name."""
+    key = _text_key("c_custkey")
+    return _customer_nation(spark, sf_dir).select(key.alias("sf_an"), F.concat(F.lit("db_"), key).alias("atd_database"), "client")
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

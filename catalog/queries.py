@@ -93,12 +93,12 @@ def build_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_full_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = tenant_features(a.tenant_tables(spark, sf_dir), AS_OF, TENANT_RESPONSES_ABOVE)
-    owned = {name: a.account_features(df, spark, sf_dir) for name, df in runs.items()}
     return training.full_training_set(
         build_training(spark, sf_dir),
-        owned["dna_common_assessments"],
-        owned["dna_system_admin_tenure"],
-        owned["dna_prebuilt_report_usage"],
+        runs["dna_common_assessments"],
+        runs["dna_system_admin_tenure"],
+        runs["dna_prebuilt_report_usage"],
+        a.account_owners(spark, sf_dir),
     )
 
 

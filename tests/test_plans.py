@@ -112,3 +112,40 @@ def test_materialized_set_is_recreated(spark):
     tables.materialize(df, "vs_test.training_set")
     assert tables.materialize(df.union(df), "vs_test.training_set").count() == 2
     spark.sql("DROP DATABASE vs_test CASCADE")
+
+
+def test_tenant_features_reach_accounts_without_being_spread_over_them(spark):
+    common = spark.createDataFrame(
+        [("n1", "x", day("2020-01-01"), 2020, 1, 4), ("n2", "x", day("2020-01-01"), 2020, 1, 3), (None, "x", day("2020-01-01"), 2020, 1, 1)],
+        FEATURE + ", common_assessment_count long, cumulative_common_assessment_count_per_ay long",
+    )
+    admins = spark.createDataFrame([("n1", "x", day("2020-02-01"), 7), ("n1", "x", day("2020-02-01"), 5)], "client string, sf_an string, month_start date, sa_tenure_in_days int")
+    reports = spark.createDataFrame(
+        [("n2", "x", day("2020-01-01"), 2020, 1, "Assessment Matrix Report", 5, 1)],
+        FEATURE + ", jasper_prebuilt_id long, title string, times_accessed long, count_of_distinct_users long",
+    )
+    # An account named twice, one with two tenants, one without any, and no account at all.
+    owners = spark.createDataFrame(
+        [("1", "db_1", "n1"), ("1", "db_1", "n1"), ("2", "db_2", "n1"), ("2", "db_2", "n2"), ("3", "db_3", None), (None, None, "n1")],
+        "sf_an string, atd_database string, client string",
+    )
+    accounts = [("1", "db_1"), ("1", "db_9"), ("2", "db_2"), ("3", "db_3"), ("4", "db_4"), (None, None)]
+    panel = spark.createDataFrame([(s, d, day(m)) for s, d in accounts for m in ("2020-01-01", "2020-02-01")], "sf_an string, atd_database string, start_date date")
+    shown = ["sf_an", "atd_database", "start_date", "cumulative_common_assessment_count_per_ay", "sa_tenure_in_days", "matrix_times_accessed"]
+    got = training.with_tenant_features(panel, owners, common, admins, reports)
+    keys, spread = shown[:3], []
+    for df in (common, admins, reports):
+        own = owners.withColumnRenamed("atd_database", "db")
+        spread.append(df.drop("sf_an").join(own, "client").drop("client").withColumnRenamed("db", "client"))
+    want = (
+        panel.join(training.first_per_month(spread[0], shown[3]), keys, "left")
+        .join(training.first_per_month(spread[1], shown[4]), keys, "left")
+        .join(training.report_columns(spread[2]), keys, "left")
+    )
+    assert rows(got, *shown) == rows(want, *shown)
+    assert ("2", "db_2", day("2020-01-01"), 3, None, 5) in rows(got, *shown)
+
+
+def test_full_training_set_hands_features_on_by_tenant(spark):
+    text = plan(q.build_full_training(spark, SF))
+    assert "tenants" in text and "CartesianProduct" not in text and "NestedLoop" not in text
