@@ -123,3 +123,35 @@ def test_rows_with_text_keys_are_undersampled_alike(spark):
     sample = edited_nearest_neighbours()
     got = {int(r["row_id"][2:]) for r in sample(named, "features").collect()}
     assert got == {r["row_id"] for r in sample(df, "features").collect()} and len(got) < 80
+
+
+def test_fits_near_separation_take_few_passes(spark):
+    draw = np.random.default_rng(5)
+    made = []
+    for i in range(120):
+        x = draw.normal(size=12) * 10.0 ** (np.arange(12) % 3)
+        made.append((i, float(x[0] + x[3] + x[6] + 0.05 * draw.normal() > 0.5), *map(float, x)))
+    names = [f"x{k}" for k in range(12)]
+    df = spark.createDataFrame(made, "row_id long, label double, " + ", ".join(f"{n} double" for n in names))
+    spec = ModelSpec(tuple(names), kind="lbfgs", folds=3)
+    fits = shared.cross_fit(df, [(spec, cost) for cost in (1.0, 100.0)])
+    assert fits.passes <= 25
+    frame = fits.encoded.frame.toPandas()
+    for column in fits.columns:
+        keep = (frame["fold"] != column.without).to_numpy()
+        x, y = np.stack(frame["features"])[keep], frame["label"].to_numpy()[keep]
+        x = np.column_stack([(x - column.mean) / column.deviation, np.ones(len(x))])
+        w = np.append(column.coefficients, column.intercept)
+        weight = np.where(y == 1, 70.0, 30.0) * column.cost
+        slope = x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)) + np.append(column.coefficients, 0.0)
+        assert np.abs(slope).max() <= 1e-7 * weight.sum()
+
+
+def test_columns_with_much_curvature_take_turns(data, monkeypatch):
+    spec = ModelSpec(("x", "y"), kind="lbfgs", folds=2)
+    together = shared.cross_fit(data, [(spec, 1.0), (spec, 10.0)])
+    monkeypatch.setattr(shared, "CURVATURES", 9)
+    apart = shared.cross_fit(data, [(spec, 1.0), (spec, 10.0)])
+    assert apart.passes == sum(c.passes for c in apart.columns) > together.passes
+    for a, b in zip(apart.columns, together.columns):
+        assert np.allclose([*a.coefficients, a.intercept], [*b.coefficients, b.intercept], atol=1e-9)

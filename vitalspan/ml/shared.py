@@ -2,9 +2,9 @@
 
 Rows are encoded and dealt to folds once and written. One pass then gives counts, sums and
 squares per (fold, label, feature), from which every fold's statistics follow as the total less
-the fold's own cell. Fits advance together: a pass evaluates loss and gradient of all (candidate,
-fold) columns as one matrix product per batch, and columns that have converged leave. A last
-pass scores each row by the columns that have not seen it.
+the fold's own cell. Fits advance together: a pass evaluates loss, gradient and second derivatives of all
+(candidate, fold) columns, each of which then takes a Newton step, and columns that have
+converged leave. A last pass scores each row by the columns that have not seen it.
 """
 
 from __future__ import annotations
@@ -161,108 +161,145 @@ class Column:
     intercept: float = 0.0
     passes: int = 0
 
+    def spread(self, point: np.ndarray) -> np.ndarray:
+        """Weights of the column's own features as weights of all, the constant last."""
+        whole = np.zeros(len(self.mask) + 1)
+        whole[:-1][self.mask], whole[-1] = point[:-1], point[-1]
+        return whole
+
     def flat(self, point: np.ndarray) -> tuple[np.ndarray, float]:
         """Weights and constant that act on features as they are stored."""
         slopes = np.where(self.mask, point[:-1] / self.deviation, 0.0)
         return slopes, point[-1] - float(slopes @ self.mean)
 
 
-def _lbfgs(size: int, tolerance: float, most: int, memory: int = 20) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
-    """Minimise a smooth convex function whose values and gradients are sent in."""
+#: Numbers of all columns' second derivatives that one pass sums up at most.
+CURVATURES = 8_000_000
+
+
+def _newton(size: int, tolerance: float, most: int) -> Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], np.ndarray]:
+    """Minimise a smooth strictly convex function whose values, gradients and second derivatives
+    are sent in. A step is shortened until it lowers the value enough."""
     x = np.zeros(size)
-    value, slope = yield x
-    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    value, slope, curve = yield x
     for _ in range(most):
         if np.abs(slope).max() <= tolerance:
             break
-        way, backs = -slope, []
-        for s, y, r in reversed(steps):
-            a = r * (s @ way)
-            backs.append(a)
-            way = way - a * y
-        if steps:
-            s, y, r = steps[-1]
-            way = way * ((s @ y) / (y @ y))
-        for (s, y, r), a in zip(steps, reversed(backs)):
-            way = way + (a - r * (y @ way)) * s
+        # What rounding leaves of a flat direction must not make the step long.
+        way = -np.linalg.solve(curve + 1e-14 * max(np.trace(curve), 1e-300) / size * np.eye(size), slope)
         fall = slope @ way
         if fall >= 0:
-            way, fall, steps = -slope, -(slope @ slope), []
-        length = 1.0 if steps else min(1.0, 1.0 / np.abs(slope).sum())
+            way, fall = -slope, -(slope @ slope)
+        length = 1.0
         for _ in range(40):
-            new_value, new_slope = yield x + length * way
-            if new_value <= value + 1e-4 * length * fall:
+            new = yield x + length * way
+            if new[0] <= value + 1e-4 * length * fall:
                 break
             # The lowest point of the parabola through what is known, within bounds.
-            curve = new_value - value - length * fall
-            length *= min(0.5, max(0.1, -0.5 * length * fall / curve)) if curve > 0 else 0.5
+            bend = new[0] - value - length * fall
+            length *= min(0.5, max(0.1, -0.5 * length * fall / bend)) if bend > 0 else 0.5
         else:
             break  # no progress that doubles could show
-        s, y = length * way, new_slope - slope
-        if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
-            steps = [*steps[1 - memory :], (s, y, 1.0 / (s @ y))]
-        x, value, slope = x + s, new_value, new_slope
+        x = x + length * way
+        value, slope, curve = new
     return x
 
 
-def _evaluate(frame: DataFrame, slopes: np.ndarray, constants: np.ndarray, weights: np.ndarray, without: np.ndarray) -> np.ndarray:
-    """Per column: loss, gradient by stored feature, gradient by the constant; one pass."""
-    size, count = slopes.shape
+def _evaluate(frame: DataFrame, runs: Sequence[tuple[Column, np.ndarray, float]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For (column, slopes, constant): loss, gradient and second derivatives by the column's own
+    features as they are stored, then by the constant; one pass.
+
+    Each task sums its rows, and there are no more tasks than cores, as every one hands on the
+    sums of all columns; these are added up by column.
+    """
+    slopes, constants = np.stack([r[1] for r in runs], axis=1), np.array([r[2] for r in runs])
+    weights, without = np.array([r[0].weights for r in runs]), np.array([r[0].without for r in runs])
+    used = [np.flatnonzero(r[0].mask) for r in runs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((count, size + 2))
+        sums: list[np.ndarray | None] = [None] * len(used)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x, label = _matrix(part), part.column("label").to_numpy()
+                x, label, fold = _matrix(part), part.column("label").to_numpy(), part.column("fold").to_numpy()
                 margin = x @ slopes + constants
-                weight = np.where(label[:, None] == 1, weights[:, 1], weights[:, 0]) * (part.column("fold").to_numpy()[:, None] != without)
-                signed = np.where(label[:, None] == 1, margin, -margin)
-                total[:, 0] += (weight * np.logaddexp(0.0, -signed)).sum(0)
-                pull = weight * (1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))) - (label[:, None] == 1))
-                total[:, 1:-1] += (x.T @ pull).T
-                total[:, -1] += pull.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["place", "value"])
-
-    summed = frame.select("label", "fold", "features").mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
-    out = np.zeros(count * (size + 2))
-    found = summed.toArrow()  # (features + 2) x columns numbers, whatever the rows
-    out[found.column("place").to_numpy()] = found.column("value").to_numpy()
-    return out.reshape(count, size + 2)
+                weight = np.where(label[:, None] == 1, weights[:, 1], weights[:, 0]) * (fold[:, None] != without)
+                loss = (weight * np.logaddexp(0.0, np.where(label[:, None] == 1, -margin, margin))).sum(0)
+                chance = 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700)))
+                pull, bend = weight * (chance - (label[:, None] == 1)), weight * chance * (1.0 - chance)
+                known: dict[bytes, np.ndarray] = {}
+                for k, places in enumerate(used):
+                    mine = known.get(places.tobytes())
+                    if mine is None:
+                        mine = known[places.tobytes()] = np.column_stack([x[:, places], np.ones(len(x))])
+                    found = np.concatenate([loss[k : k + 1], mine.T @ pull[:, k], ((mine * bend[:, k, None]).T @ mine).ravel()])
+                    sums[k] = found if sums[k] is None else sums[k] + found
+        for k, found in enumerate(sums):
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([found], pa.list_(pa.float64()))], names=["column", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.sum([np.asarray(v.values) for v in table.column("sums")], axis=0)
+        return pa.table([table.column("column").slice(0, 1), pa.array([total], pa.list_(pa.float64()))], names=["column", "sums"])
+
+    kind = "column int, sums array<double>"
+    rows = frame.select("label", "fold", "features").coalesce(frame.sparkSession.sparkContext.defaultParallelism)
+    summed = rows.mapInArrow(run, kind).groupBy("column").applyInArrow(added, kind)
+    out: list[tuple[float, np.ndarray, np.ndarray]] = [(0.0, np.zeros(len(p) + 1), np.zeros((len(p) + 1,) * 2)) for p in used]
+    for row in summed.toArrow().to_batches():  # a row per column, whatever the rows
+        for k, values in zip(row.column("column").to_pylist(), row.column("sums")):
+            flat, size = np.asarray(values.values), len(used[k]) + 1
+            out[k] = (float(flat[0]), flat[1 : 1 + size], flat[1 + size :].reshape(size, size))
+    return out
 
 
 def fit_columns(encoded: Encoded, columns: list[Column], totals: dict[int, tuple[float, float]], tolerance: float = 1e-8, most: int = 500) -> int:
-    """Fit every column, all in the same passes; the number of passes.
+    """Fit every column by Newton steps, all in the same passes; the number of passes.
 
     Each minimises cost x weighted loss + half the squared norm, intercept free, over the rows
-    outside its fold; ``totals`` has those rows' count for labels 0 and 1.
+    outside its fold; ``totals`` has those rows' count for labels 0 and 1. Columns whose second
+    derivatives are more than ``CURVATURES`` numbers together take turns.
     """
+    turns: list[list[Column]] = []
+    room = 0
+    for c in columns:
+        need = (int(c.mask.sum()) + 1) ** 2
+        if not turns or need > room:
+            turns.append([])
+            room = CURVATURES
+        turns[-1].append(c)
+        room -= need
+    return sum(_fit_together(encoded, some, totals, tolerance, most) for some in turns)
+
+
+def _fit_together(encoded: Encoded, columns: list[Column], totals: dict[int, tuple[float, float]], tolerance: float, most: int) -> int:
     runs = []
     for c in columns:
         size = c.weights[0] * totals[c.without][0] + c.weights[1] * totals[c.without][1]
-        run = _lbfgs(len(c.mask) + 1, tolerance, most)
+        run = _newton(int(c.mask.sum()) + 1, tolerance, most)
         runs.append((c, run, next(run), max(size, 1e-300)))
     passes = 0
     while runs:
-        flat = [c.flat(point) for c, _, point, _ in runs]
-        found = _evaluate(
-            encoded.frame,
-            np.stack([f[0] for f in flat], axis=1),
-            np.array([f[1] for f in flat]),
-            np.array([c.weights for c, *_ in runs]),
-            np.array([c.without for c, *_ in runs]),
-        )
+        found = _evaluate(encoded.frame, [(c, *c.flat(c.spread(point))) for c, _, point, _ in runs])
         passes += 1
         going = []
-        for (c, run, point, size), row in zip(runs, found):
+        for (c, run, point, size), (loss, pulls, bends) in zip(runs, found):
             norm = 1.0 / (c.cost * size)
-            value = row[0] / size + 0.5 * norm * float(point[:-1] @ point[:-1])
-            slope = np.where(c.mask, (row[1:-1] - row[-1] * c.mean) / c.deviation / size + norm * point[:-1], 0.0)
+            mean, deviation = c.mean[c.mask], c.deviation[c.mask]
+            # Stored features less the fold's mean, by its deviation, are the fold's own.
+            turn = np.zeros((len(mean) + 1, len(mean) + 1))
+            turn[np.arange(len(mean)), np.arange(len(mean))] = 1.0 / deviation
+            turn[:-1, -1], turn[-1, -1] = -mean / deviation, 1.0
+            ridge = norm * np.append(np.ones(len(mean)), 0.0)
+            value = loss / size + 0.5 * norm * float(point[:-1] @ point[:-1])
+            slope = turn @ pulls / size + ridge * point
+            curve = turn @ bends @ turn.T / size + np.diag(ridge)
             c.passes = passes
             try:
-                going.append((c, run, run.send((value, np.append(slope, row[-1] / size))), size))
+                going.append((c, run, run.send((value, slope, curve)), size))
             except StopIteration as done:
-                c.coefficients, c.intercept = done.value[:-1], float(done.value[-1])
+                whole = c.spread(done.value)
+                c.coefficients, c.intercept = whole[:-1], float(whole[-1])
         runs = going
     return passes
 
