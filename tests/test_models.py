@@ -316,3 +316,18 @@ def test_models_score_after_the_session_has_been_observed(spark, sample):
         assert not model.stages[-1].hasSummary
         copied = model.copy()
         assert copied.transform(sample).where("prediction IS NOT NULL").count() == 150
+
+
+def test_compared_rows_hold_a_bounded_number_of_distances(monkeypatch):
+    draw = np.random.default_rng(3)
+    rows_, others = draw.normal(size=(700, 5)), draw.normal(size=(900, 5))
+    sizes, ids = np.ones(900, int), np.arange(900)
+    whole = [np.concatenate(x) for x in zip(*neighbours._compared(rows_, others, sizes, ids, 4))]
+    monkeypatch.setattr(neighbours, "PRODUCTS", 9_000)
+    seen, squared = [], neighbours._squared
+    monkeypatch.setattr(neighbours, "_squared", lambda a, b: seen.append(len(a) * len(b)) or squared(a, b))
+    parts = [np.concatenate(x) for x in zip(*neighbours._compared(rows_, others, sizes, ids, 4))]
+    assert max(seen) <= 9_000 and sum(seen) == 700 * 900
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
+    monkeypatch.setattr(neighbours, "PRODUCTS", 1)
+    assert [s.stop - s.start for s in neighbours._steps(rows_[:3], others)] == [1, 1, 1]

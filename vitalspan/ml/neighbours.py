@@ -22,8 +22,8 @@ from vitalspan.session import cut_lineage
 BLOCK_ROWS = 20_000
 #: Pivots that one cell is split around.
 FAN = 64
-#: Rows compared at a time, and exact distances held at a time.
-CHUNK, PAIRS = 512, 100_000
+#: Rows compared at a time, distances of the product form and exact ones held at a time.
+CHUNK, PRODUCTS, PAIRS = 512, 1_000_000, 100_000
 #: Cells whose sizes go to every task, 16 bytes each; beyond it they are joined by shuffle.
 BROADCAST_CELLS = 1_000_000
 #: Rounding of a squared distance in the product form, as a part of the squared lengths.
@@ -60,6 +60,12 @@ def _squared(rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.maximum(lengths - 2.0 * rows @ others.T, 0.0), ROUNDING * lengths
 
 
+def _steps(rows: np.ndarray, others: np.ndarray) -> list[slice]:
+    """Parts of ``rows`` to compare with ``others`` at a time, at most ``PRODUCTS`` distances each."""
+    size = max(1, min(CHUNK, PRODUCTS // max(1, len(others))))
+    return [slice(start, start + size) for start in range(0, len(rows), size)]
+
+
 def _beside(left: DataFrame, right: DataFrame, *keys: str):
     """Both sides grouped for one task per key; the right one's columns get names of their own first."""
     apart = right.select(*[F.col(c).alias(c) for c in right.columns])
@@ -84,8 +90,8 @@ def _placed(cells: pa.Table, pivots: pa.Table) -> pa.Table:
     order = np.argsort(ids)
     others, ids = others[order], ids[order]
     nearest = np.zeros(len(rows), dtype=np.int64)
-    for start in range(0, len(rows), CHUNK):
-        nearest[start : start + CHUNK] = _squared(rows[start : start + CHUNK], others)[0].argmin(1)
+    for some in _steps(rows, others):
+        nearest[some] = _squared(rows[some], others)[0].argmin(1)
     gaps = np.sqrt(((rows - others[nearest]) ** 2).sum(1)) if len(rows) else np.zeros(0)
     columns = [cells.column("vector_id"), cells.column("vector"), cells.column("members"), pa.array(ids[nearest]), pa.array(gaps)]
     return pa.table(columns, names=["vector_id", "vector", "members", "cell", "gap"])
@@ -120,11 +126,11 @@ def _sent(asking: pa.Table, children: pa.Table) -> pa.Table:
     rows, others = _matrix(asking), _matrix(children)
     cells, radius, reach = _numbers(children, "child"), _numbers(children, "radius"), _numbers(asking, "reach")
     who, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for start in range(0, len(rows) if len(others) else 0, CHUNK):
-        squared, error = _squared(rows[start : start + CHUNK], others)
+    for some in _steps(rows, others) if len(others) else ():
+        squared, error = _squared(rows[some], others)
         least = np.sqrt(np.maximum(squared - error, 0.0)) - radius[None, :]
-        i, j = np.nonzero(least <= reach[start : start + CHUNK, None] * (1 + 1e-9))
-        who.append(i + start)
+        i, j = np.nonzero(least <= reach[some, None] * (1 + 1e-9))
+        who.append(i + some.start)
         where.append(j)
     found = asking.select(["vector_id", "vector", "reach", "own"]).take(pa.array(np.concatenate(who)))
     return found.append_column("cell", pa.array(cells[np.concatenate(where)].astype(np.int64)))
@@ -152,8 +158,8 @@ def _compared(rows: np.ndarray, others: np.ndarray, sizes: np.ndarray, ids: np.n
     ``sizes`` are the rows behind each other vector, ``ids`` their keys one after another.
     """
     first = np.cumsum(sizes) - sizes
-    for start in range(0, len(rows), CHUNK):
-        part = rows[start : start + CHUNK]
+    for some in _steps(rows, others):
+        part, start = rows[some], some.start
         rough, error = _squared(part, others)
         size = min(members, len(others))
         edge = np.partition(rough + error, size - 1, axis=1)[:, size - 1]
