@@ -69,3 +69,27 @@ def test_long_texts_are_cut_between_terms(monkeypatch):
     whole = [t for part in divergence.terms(text) for t in part]
     monkeypatch.setattr(divergence, "_PIECE", 7)
     assert [t for part in divergence.terms(text) for t in part] == whole
+
+
+def test_runs_are_merged_into_one_order():
+    import numpy as np
+    import pyarrow as pa
+
+    draw, want, documents, made = random.Random(8), Counter(), Counter(), []
+    words = sorted(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}".encode() for k in range(300)) + ["é".encode(), "東京".encode()]
+    for _ in range(200):
+        source, some = draw.choice("abc"), sorted(draw.sample(words, draw.randrange(1, 40)))
+        counts = [draw.randrange(1, 9) for _ in some]
+        want.update({(t.decode(), source): n for t, n in zip(some, counts)})
+        documents.update(t.decode() for t in some)
+        made.append(("en", 0, source, b"\n".join(some), np.array(counts, "<i8").tobytes(), np.ones(len(some), "<i8").tobytes()))
+    names = ["lang", "shard", "source", "terms", "counts", "documents"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=names)
+    got = divergence._merged(10)(table).to_pylist()
+    assert not hasattr(divergence, "merge")  # postings do not pass through Python one by one
+    kept = {k: n for k, n in want.items() if documents[k[0]] >= 10}
+    assert {(r["term"], r["source"]): r["n"] for r in got} == kept and 0 < len(kept) < len(want)
+    assert all(r["total"] == sum(n for (t, _), n in want.items() if t == r["term"]) for r in got)
+    assert [r["term"] for r in got] == sorted((r["term"] for r in got), key=str.encode)
+    assert divergence._merged(1)(table.slice(0, 0)).num_rows == 0

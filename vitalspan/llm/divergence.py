@@ -2,8 +2,8 @@
 
 Term frequencies come from an index built in one pass: a task collects the postings of its
 documents in memory, and whenever a block of them is full it lets go of term-sorted runs, one
-for each hash shard and source. The runs of a shard are merged on a heap, so a shard's terms
-pass one after another with all their sources and the language's total.
+for each hash shard and source. The runs of a shard, whose text is bounded, are merged at once
+into the order of terms and sources, which gives each posting the language's total.
 
 A pair of sources is the sum of |p - q| over all kept terms. All but a part of it follows from
 each source's histogram of p; the part is a correction for terms that both sources have, which
@@ -15,13 +15,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from heapq import merge
 from itertools import groupby
 from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,29 +107,45 @@ def _index(shards: int, block_postings: int):
     return run
 
 
-def _postings(source: str, names: bytes, counts: bytes, documents: bytes) -> Iterator[tuple]:
-    numbers = (np.frombuffer(x, "<i8").tolist() for x in (counts, documents))
-    return ((term, source, n, d) for term, n, d in zip(names.split(b"\n"), *numbers))
+def _terms_of(runs: list[bytes]) -> pa.LargeBinaryArray:
+    """The terms of all runs, one after another; a term has no line break."""
+    raw = np.frombuffer(b"".join(x for run in runs for x in (run, b"\n")), np.uint8)
+    breaks = np.flatnonzero(raw == 10)
+    ends = np.concatenate([[0], breaks - np.arange(len(breaks))]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(breaks), [None, pa.py_buffer(ends), pa.py_buffer(raw[raw != 10])])
 
 
 def _merged(least: int):
-    """Of a shard's runs, the terms in ``least`` documents or more by source, with their total."""
+    """Of a shard's runs, the terms in ``least`` documents or more by source, with their total.
+
+    All runs are merged at once: every term gets its place in the order of the shard's terms, and
+    postings are brought into the order of these places and of sources.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        lang = table.column("lang")[0].as_py() if table.num_rows else ""
-        runs = [_postings(*r) for r in zip(*(table.column(c).to_pylist() for c in ("source", "terms", "counts", "documents")))]
-        rows = []
-        for term, found in groupby(merge(*runs, key=itemgetter(0)), itemgetter(0)):
-            counts, documents = {}, 0
-            for _, source, n, d in found:
-                counts[source] = counts.get(source, 0) + n
-                documents += d
-            if documents >= least:
-                total = sum(counts.values())
-                rows += [(term.decode(), source, n, total) for source, n in counts.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        made = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))]
-        return pa.table([pa.array([lang] * len(rows), pa.string()), *made], names=["lang", "term", "source", "n", "total"])
+        names = ["lang", "term", "source", "n", "total"]
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.string())] * 3 + [pa.array([], pa.int64())] * 2, names=names)
+        counts, documents = (table.column(c).to_pylist() for c in ("counts", "documents"))
+        found, source = _terms_of(table.column("terms").to_pylist()).dictionary_encode(), table.column("source").combine_chunks().dictionary_encode()
+        order = pc.sort_indices(found.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        term = place[found.indices.to_numpy()]
+        size = len(source.dictionary)
+        key = term * size + np.repeat(source.indices.to_numpy().astype(np.int64), [len(c) // 8 for c in counts])
+        sorted_by = np.argsort(key, kind="stable")
+        key = key[sorted_by]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n, d = (np.add.reduceat(np.frombuffer(b"".join(x), "<i8")[sorted_by], first) for x in (counts, documents))
+        term, source_of = np.divmod(key[first], size)
+        opens = np.flatnonzero(np.diff(term, prepend=-1))
+        held = np.diff(np.append(opens, len(term)))
+        total, enough = (np.repeat(np.add.reduceat(x, opens), held) for x in (n, d))
+        kept = enough >= least
+        shown = found.dictionary.take(order.take(pa.array(term[kept]))).cast(pa.binary()).cast(pa.string())
+        lang = pa.array([table.column("lang")[0].as_py()] * len(shown), pa.string())
+        return pa.table([lang, shown, source.dictionary.take(pa.array(source_of[kept])), pa.array(n[kept]), pa.array(total[kept])], names=names)
 
     return run
 
