@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog import adapters as a
-from vitalspan.ml import cv, evaluate, models, prep, sampling, shared
+from vitalspan.ml import cv, evaluate, margins, models, prep, sampling, shared
 from vitalspan.ml.calibrate import calibrate
 from vitalspan.ml.specs import (
     CATEGORICAL,
@@ -86,7 +86,7 @@ def model_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = ModelSpec(NUMBERS, KINDS, folds=3)
-    return cv.grid_search(a.labelled_documents(spark, sf_dir), spec, GRID_COSTS, GRID_WEIGHTS, components=64, maxIter=15)
+    return margins.grid_margins(a.labelled_documents(spark, sf_dir), spec, GRID_COSTS, GRID_WEIGHTS, components=64, maxIter=15)
 
 
 def vector_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ModelSpec]:
@@ -269,7 +269,7 @@ def logit_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def margin_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cv.sweep(model_rows(spark, sf_dir), MARGIN_MODELS, components=64, maxIter=15)
+    return margins.sweep_margins(model_rows(spark, sf_dir), MARGIN_MODELS, components=64, maxIter=15)
 
 
 def undersampled_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +277,7 @@ def undersampled_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cv.grid_search(model_rows(spark, sf_dir), GRID_SPEC, GRID_COSTS, GRID_WEIGHTS, components=64, maxIter=15)
+    return margins.grid_margins(model_rows(spark, sf_dir), GRID_SPEC, GRID_COSTS, GRID_WEIGHTS, components=64, maxIter=15)
 
 
 def margin_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:

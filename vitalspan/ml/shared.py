@@ -46,6 +46,7 @@ class Encoded:
     names: list[str]
     numeric: int
     folds: int
+    units: list[float]  # what each number was divided by
 
     def mask(self, columns: Sequence[str]) -> np.ndarray:
         """Which features come from the columns named."""
@@ -77,7 +78,7 @@ def encode_once(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[s
         features.append(_one_hot(F.col(c).cast("string"), levels))
     folded = stratified_folds(rows, key, k=folds, seed=seed)
     frame = folded.select(F.col(key).alias("row_id"), F.col("label").cast("double").alias("label"), "fold", F.concat(*features).alias("features"))
-    return Encoded(cut_lineage(frame), names, len(numeric), folds)
+    return Encoded(cut_lineage(frame), names, len(numeric), folds, [found[f"s{i}"] or 1.0 for i in range(len(numeric))])
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
