@@ -273,7 +273,8 @@ def margin_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def undersampled_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cv.sweep(model_rows(spark, sf_dir), UNDERSAMPLED_MODELS, sampler=sampling.edited_nearest_neighbours(), components=64, maxIter=15)
+    sampler = sampling.edited_nearest_neighbours()
+    return margins.sweep_margins(model_rows(spark, sf_dir), UNDERSAMPLED_MODELS, sampler=sampler, components=64, maxIter=15)
 
 
 def training_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

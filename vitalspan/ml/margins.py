@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.ml.cv import METRICS, SWEEP_COLUMNS
 from vitalspan.ml.evaluate import class_metrics
+from vitalspan.ml.sampling import EditedNearestNeighbours
 from vitalspan.ml.shared import Encoded, _matrix, best_per_fold, cells, encode_once, fold_metrics, left_out
 from vitalspan.ml.specs import ModelSpec
 from vitalspan.plans.training import SPELL
@@ -36,6 +37,7 @@ class Kernel:
     used: np.ndarray
     mean: np.ndarray
     deviation: np.ndarray
+    lacking: np.ndarray  # levels that its rows lack
     slopes: np.ndarray | None = None
     offsets: np.ndarray | None = None
 
@@ -203,7 +205,8 @@ def views(encoded: Encoded, specs: Sequence[ModelSpec]) -> list[Kernel]:
             if spec.select:
                 there = [k for k in there if chosen[fold, k]]
             used = np.array(there, int)
-            out.append(Kernel(spec, fold, used, mean[fold, used], deviation[fold, used]))
+            lacking = np.flatnonzero(level & (s[fold] <= 0.5))
+            out.append(Kernel(spec, fold, used, mean[fold, used], deviation[fold, used], lacking))
     return out
 
 
@@ -339,7 +342,7 @@ def cross_margins(
     candidates: Sequence[tuple[ModelSpec, float]],
     key: str = "row_id",
     seed: int = 19,
-    sampler: Callable | None = None,
+    sampler: EditedNearestNeighbours | None = None,
     components: int = 256,
     maxIter: int = 50,
     kernel_seed: int = 1,
@@ -347,8 +350,8 @@ def cross_margins(
     """All margin candidates over the same folds; they may differ in features, selection, weights
     and cost.
 
-    ``sampler(encoded, kernels)`` gives the rows with an array ``kept``: for each kernel, whether
-    the row stays among its training rows.
+    ``sampler.by_fold(encoded, kernels)`` gives the rows with an array ``kept``: for each kernel,
+    whether the row stays among its training rows. It is asked where the models are under-sampled.
     """
     specs = [s for s, _ in candidates]
     if any(s.kind != "rbf" for s in specs) or len({s.folds for s in specs}) > 1 or len({s.undersample for s in specs}) > 1:
@@ -359,7 +362,7 @@ def cross_margins(
     shape = lambda s: (s.columns, s.select, s.drop_first)
     shapes = {shape(s): s for s in specs}
     kernels = views(encoded, list(shapes.values()))
-    frame = encoded.frame if sampler is None else sampler(encoded, kernels)
+    frame = encoded.frame if sampler is None or not specs[0].undersample else sampler.by_fold(encoded, kernels)
     draw_kernels(frame, kernels, components, kernel_seed)
     order = list(shapes)
     columns = [
@@ -372,7 +375,7 @@ def cross_margins(
 
 
 def sweep_margins(
-    rows: DataFrame, models: dict[str, ModelSpec], key: str = "row_id", date: str | None = "start_date", seed: int = 19, sampler: Callable | None = None, **options
+    rows: DataFrame, models: dict[str, ModelSpec], key: str = "row_id", date: str | None = "start_date", seed: int = 19, sampler: EditedNearestNeighbours | None = None, **options
 ) -> DataFrame:
     """Mean held-out metrics of every model and cost, with and without the excluded spell.
 

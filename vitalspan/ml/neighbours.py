@@ -198,6 +198,79 @@ def _nearest(members: int):
     return run
 
 
+def _edges(far: np.ndarray, outside: np.ndarray, floors: np.ndarray, members: int) -> np.ndarray:
+    """For each row of ``far``, a squared distance beyond which no fold's nearest ``members`` lie.
+
+    ``outside`` counts the rows behind each vector that each fold is fitted on; a fold's squared
+    distances are at least its floor's part of those in ``far``.
+    """
+    edges, left, size = np.full(len(far), np.inf), np.arange(len(far)), 4 * members
+    while len(left):
+        size = min(size, far.shape[1])
+        some = far[left]
+        near = np.argpartition(some, size - 1, axis=1)[:, :size]
+        gaps = np.take_along_axis(some, near, 1)
+        order = gaps.argsort(1)
+        near, gaps = np.take_along_axis(near, order, 1), np.take_along_axis(gaps, order, 1)
+        enough = outside[near].cumsum(1) >= members  # rows x vectors x folds
+        done = enough[:, -1].all(1)
+        last = np.take_along_axis(gaps, enough.argmax(1), 1) / floors
+        edges[left[done]] = last[done].max(1)
+        if size == far.shape[1]:
+            break  # too few rows for some fold, so all of them are asked
+        left, size = left[~done], 4 * size
+    return edges
+
+
+def _nearest_outside(folds: list[int], ratios: np.ndarray, members: int):
+    """For each asking vector and each of ``folds``, the nearest rows of other folds in a block."""
+    floors = ratios.min(1)
+
+    def run(asking: pa.Table, held: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), 0, np.zeros(0), np.zeros(0, np.int64))]
+        if asking.num_rows and held.num_rows:
+            groups = held.column("members").combine_chunks()
+            ids, labels, own = (pc.struct_field(groups.flatten(), name) for name in ("row_id", "label", "fold"))
+            keys, dealt = ids.to_numpy(), own.to_numpy()
+            sizes = groups.value_lengths().to_numpy().astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            outside = np.add.reduceat((dealt[:, None] != np.array(folds)).astype(np.int64), first, axis=0)
+            rows, others = _matrix(asking), _matrix(held)
+            for some in _steps(rows, others):
+                part = rows[some]
+                rough, error = _squared(part, others)
+                close = rough - error <= _edges(rough + error, outside, floors, members)[:, None] * (1 + 1e-9)
+                ahead = np.cumsum(close.sum(1))
+                for few in np.split(np.arange(len(part)), np.flatnonzero(np.diff(ahead // PAIRS)) + 1):
+                    i, j = np.nonzero(close[few])
+                    steps = (others[j] - part[few][i]) ** 2
+                    held_by = sizes[j]
+                    at = np.repeat(first[j] - (np.cumsum(held_by) - held_by), held_by) + np.arange(held_by.sum())
+                    i = np.repeat(i, held_by)
+                    for fold, ratio in zip(folds, ratios):
+                        gap = np.repeat(np.sqrt((steps * ratio).sum(1)), held_by)
+                        mine = np.flatnonzero(dealt[at] != fold)
+                        order = mine[np.lexsort((keys[at[mine]], gap[mine], i[mine]))]
+                        order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < members]
+                        found.append((few[i[order]] + some.start, fold, gap[order], at[order]))
+        # One list for each vector and fold.
+        row, gap, at = (np.concatenate([f[k] for f in found]) for k in (0, 2, 3))
+        fold = np.repeat([f[1] for f in found], [len(f[0]) for f in found])
+        order = np.lexsort((fold, row))
+        row, fold, gap, at = row[order], fold[order], gap[order], at[order]
+        opens = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(fold) != 0)])) if len(row) else np.zeros(0, np.int64)
+        places = pa.array(np.append(opens, len(row)).astype(np.int32))
+        if len(row):
+            at = pa.array(at)
+            near = pa.StructArray.from_arrays([pa.array(gap), ids.take(at), labels.take(at)], fields=list(NEAR_TYPE.value_type))
+        else:
+            near = pa.array([], NEAR_TYPE.value_type)
+        columns = [asking.column("vector_id").take(pa.array(row[opens])), pa.array(fold[opens].astype(np.int32))]
+        return pa.table([*columns, pa.ListArray.from_arrays(places, near, type=NEAR_TYPE)], names=["vector_id", "without", "near"])
+
+    return run
+
+
 NEAR_TYPE = pa.list_(pa.struct([("gap", pa.float64()), ("row_id", pa.int64()), ("label", pa.float64())]))
 
 
@@ -229,7 +302,7 @@ def nearest_rows(
         asked = asking.join(found.select("vector_id", last.alias("reach")), "vector_id")
         sent = route(asked.select("vector_id", "vector", "reach", "own"), levels, block_rows)
         homes = asking.select("vector_id", "own_cell")
-        found = found.unionByName(_elsewhere(sent.join(homes, "vector_id"), blocked, block_rows, members))
+        found = found.unionByName(_elsewhere(sent.join(homes, "vector_id"), blocked, block_rows, _nearest(members), schema))
     # A handful of rows per block reached and vector.
     merged = found.groupBy("vector_id").agg(
         F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, members).alias("near")
@@ -240,8 +313,56 @@ def nearest_rows(
     return rows.join(vectors, "vector").select("row_id", "label", F.slice(others, 1, k).alias("near"))
 
 
-def _elsewhere(sent: DataFrame, blocked: DataFrame, block_rows: int, members: int) -> DataFrame:
-    """The nearest rows in the blocks that vectors were sent to, their own block left out."""
+def nearest_outside(
+    points: DataFrame, folds: list[int], ratios: np.ndarray, k: int = 3, block_rows: int = BLOCK_ROWS, skip: float | None = None, fan: int = FAN
+) -> DataFrame:
+    """(row_id, label, without, near): of ``folds``, for each that a row is not in, its ``k``
+    nearest other rows that are not in it either, exact; one search for all of them.
+
+    ``points`` has (row_id, label, fold, vector). A fold has a metric of its own: column j of a
+    squared distance counts by ``ratios[fold, j]``, above 0 and at most 1. The search runs in the
+    unweighted one, where a fold's nearest rows lie within its radius over the root of its least
+    ratio. Ties go to the smaller id; rows labelled ``skip`` are found but do not ask.
+    """
+    members = k + 1
+    same = Window.partitionBy("vector", "fold").orderBy("row_id")
+    few = points.withColumn("place", F.row_number().over(same)).where(F.col("place") <= members)
+    behind = F.sort_array(F.collect_list(F.struct("row_id", "label", "fold"))).alias("members")
+    distinct = cut_lineage(few.groupBy("vector").agg(F.min("row_id").alias("vector_id"), behind))
+    total = distinct.count()
+    placed, levels = grow(distinct, total, block_rows, fan)
+    blocked = cut_lineage(_dealt(placed, _sizes(placed, block_rows), "part"))
+    asks = F.lit(True)
+    if skip is not None:
+        asks = F.exists("members", lambda m: m["label"] != F.lit(skip)) | (F.size("members") >= members)
+    asking = blocked.where(asks).select("vector_id", "vector", F.col("cell").alias("own_cell"), F.col("part").alias("own"))
+    mine = asking.select("vector_id", "vector", F.col("own_cell").alias("cell"), F.col("own").alias("part"))
+    search, schema = _nearest_outside(folds, ratios, members), f"vector_id long, without int, near {NEAR}"
+    found = _beside(mine, blocked, "cell", "part").applyInArrow(search, schema)
+    if levels or total > block_rows:
+        found = cut_lineage(found)
+        floors = F.create_map(*[F.lit(v) for fold, ratio in zip(folds, ratios) for v in (fold, float(np.sqrt(ratio.min())))])
+        last = F.when(F.size("near") >= members, F.element_at("near", -1)["gap"] / floors[F.col("without")])
+        # A fold that found too few rows here has to look everywhere.
+        whole = (F.count(last) == len(folds)) & (F.count(F.lit(1)) == len(folds))
+        reach = F.when(whole, F.max(last)).otherwise(F.lit(float("inf")))
+        reached = found.groupBy("vector_id").agg(reach.alias("reach"))
+        asked = asking.join(reached, "vector_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        sent = route(asked.select("vector_id", "vector", "reach", "own"), levels, block_rows)
+        homes = asking.select("vector_id", "own_cell")
+        found = found.unionByName(_elsewhere(sent.join(homes, "vector_id"), blocked, block_rows, search, schema))
+    merged = found.groupBy("vector_id", "without").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, members).alias("near")
+    )
+    vectors = distinct.select("vector", "vector_id").join(merged, "vector_id").drop("vector_id")
+    others = F.filter("near", lambda n: n["row_id"] != F.col("row_id"))
+    rows = points if skip is None else points.where(F.col("label") != F.lit(skip))
+    met = rows.join(vectors, "vector").where(F.col("fold") != F.col("without"))
+    return met.select("row_id", "label", "without", F.slice(others, 1, k).alias("near"))
+
+
+def _elsewhere(sent: DataFrame, blocked: DataFrame, block_rows: int, search, schema: str) -> DataFrame:
+    """What ``search`` finds in the blocks that vectors were sent to, their own block left out."""
     widths = _sizes(blocked, block_rows)
     asked = _sizes(sent, block_rows).withColumnRenamed("parts", "asked")
     away = (F.col("cell") != F.col("own_cell")) | (F.col("part") != F.col("own"))
@@ -258,4 +379,4 @@ def _elsewhere(sent: DataFrame, blocked: DataFrame, block_rows: int, members: in
         .withColumn("ask_part", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))
         .select(*keys, "vector", "members")
     )
-    return _beside(asking, held, *keys).applyInArrow(_nearest(members), f"vector_id long, near {NEAR}")
+    return _beside(asking, held, *keys).applyInArrow(search, schema)
