@@ -273,8 +273,9 @@ def margin_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def undersampled_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under-sampled margin models with all kernel components, each fit run until it has converged."""
     sampler = sampling.edited_nearest_neighbours()
-    return margins.sweep_margins(model_rows(spark, sf_dir), UNDERSAMPLED_MODELS, sampler=sampler, components=64, maxIter=15)
+    return margins.sweep_margins(model_rows(spark, sf_dir), UNDERSAMPLED_MODELS, sampler=sampler, maxIter=None)
 
 
 def training_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,39 @@ def test_folds_share_searches_where_their_metrics_are_alike(data):
         for place, ratio in zip(places, ratios):
             kernel = full[place]
             assert np.allclose((scales**2 * ratio)[kernel.used], 1 / kernel.deviation**2)
+
+
+def test_cosines_are_those_of_doubles():
+    angles = np.random.default_rng(2).normal(size=(300, 500)) * 20
+    assert np.allclose(margins.cosines(angles.copy(), 0.25), 0.25 * np.cos(angles), rtol=0, atol=1e-13)
+
+
+def test_steps_without_a_limit_run_until_they_have_converged():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(200, 6))
+    sign = np.where(x[:, 0] + draw.normal(size=200) > 0, 1.0, -1.0)
+
+    def fitted(most):
+        run = margins.quasi_newton(6, most)
+        point, count = next(run), 0
+        try:
+            while True:
+                short = 1 - sign * (x @ point)
+                count += 1
+                point = run.send((np.maximum(short, 0).mean() + 0.05 * point @ point, -(sign * (short > 0)) @ x / 200 + 0.1 * point))
+        except StopIteration as done:
+            return done.value, count
+
+    (few, early), (many, late), (free, last) = (fitted(n) for n in (5, 100_000, None))
+    assert early < last == late and np.array_equal(free, many) and not np.array_equal(free, few)
+
+
+def test_undersampled_models_are_fitted_in_full(monkeypatch):
+    from catalog import model_queries
+
+    asked = {}
+    monkeypatch.setattr(model_queries, "model_rows", lambda spark, sf_dir: None)
+    monkeypatch.setattr(model_queries.margins, "sweep_margins", lambda rows, models, **options: asked.update(options, models=models))
+    model_queries.undersampled_models(None, "")
+    assert asked["maxIter"] is None and asked.get("components", 256) >= 256
+    assert asked["models"] is model_queries.UNDERSAMPLED_MODELS and asked["sampler"].k == 3
