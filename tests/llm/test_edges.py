@@ -1,6 +1,7 @@
 """NULLs, empty and long texts, ties, repeats, empty tables and clashing column names."""
 
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -396,3 +397,48 @@ def test_texts_of_many_findings_take_linear_time():
     base, added = pii.find(text, weights)
     assert len(base) == 20_000 and not added
     assert time.monotonic() - begun < 30
+
+
+def test_network_is_fitted_on_all_findings(spark, monkeypatch):
+    """Every distinct piece reaches a shard's fit or is left out of it; the threshold is of all left out."""
+    draw = np.random.default_rng(12)
+    code = lambda n: "".join(draw.choice(list("0123456789abcdef"), n))
+    texts = [f"words password={code(18)} more {code(32)} and plain-words-{i} here/is/{i}" for i in range(120)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts * 2], "text string")
+    every = {f for t in texts for f in secrets.learned_from(t or "")}
+    pieces = findings.every_finding(docs.repartition(5), secrets.learned_from)
+    assert sorted((r["stratum"], bytes(r["item"])) for r in pieces.collect()) == sorted(every)
+    monkeypatch.setattr(secrets, "SHARD", 100)
+    seen, sizes = set(), []
+    for r in secrets.shards(pieces, 9).collect():
+        for rows, labels in ((r["x"], r["y"]), (r["left"], r["truth"])):
+            items = np.frombuffer(rows, np.uint8).reshape(len(labels), -1)
+            seen |= {(int(y), x.tobytes()) for x, y in zip(items, labels)}
+        sizes.append(len(r["y"]))
+    assert every <= seen and len(sizes) > 3
+    one, other = (secrets.fit_on(docs.repartition(n)) for n in (1, 7))
+    assert np.array_equal(one.state(), other.state()) and one.threshold == other.threshold
+    left = [np.frombuffer(item, np.uint8)[None] for label, item in every if label and zlib.crc32(item) % 4 == 0]
+    assert (one.score(left) >= one.threshold).mean() >= secrets.RECALL
+    assert np.isinf(secrets.fit_on(spark.createDataFrame([("nothing here",)], "text string")).threshold)
+
+
+def test_network_gradients_equal_differences():
+    net = secrets.CharNet()
+    for group in (net.p, net.moment, net.power):
+        group[:] = [a.astype(float) for a in group]
+    draw = np.random.default_rng(1)
+    rows, y, weight = draw.integers(32, 127, (6, 72)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0.0]), draw.random(6)
+
+    def loss():
+        return float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * net.forward(rows))).sum())
+
+    for p, g in zip(net.p, net._gradients(rows, y, weight)):
+        for at in np.argsort(-np.abs(g.ravel()))[:3]:
+            was = p.flat[at]
+            p.flat[at] = was + 1e-6
+            up = loss()
+            p.flat[at] = was - 1e-6
+            down = loss()
+            p.flat[at] = was
+            assert (up - down) / 2e-6 == pytest.approx(g.flat[at], rel=1e-3, abs=1e-7)
